@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, token_counts, token_store
+from . import bpe, decontaminate, media, sharding, token_counts, token_store
 from ._common import table
 
 
@@ -25,10 +25,19 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_size(table(spark, sf_dir, "documents"), 16)
+
+
 def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.stored_index(table(spark, sf_dir, "documents"))
+    return decontaminate.contamination(decontaminate.phrase_matches(index, table(spark, sf_dir, "benchmark")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -36,7 +45,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_lpt_shards": op4_lpt_shards,
     "op5_iso_media": op5_iso_media,
+    "op8_decontaminate": op8_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
