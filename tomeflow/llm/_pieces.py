@@ -1,8 +1,7 @@
-"""Cutting whole texts into pieces that a byte-level BPE tokenizer treats on their own.
+"""Words of whole texts, as byte-level BPE tokenizers split them, and tables of what words encode to.
 
-The split pattern of these tokenizers never joins what stands before a single space with the word after
-it, so a text may be cut in front of any space that a non-space follows, whatever comes before. The
-pieces of a corpus repeat, so each is encoded once per worker and then looked up.
+Merges stay inside words, and the words of a corpus repeat, so each worker encodes a word once and then
+looks it up.
 """
 
 from __future__ import annotations
@@ -11,22 +10,12 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-#: A space in front of white space or of the text's end: not a place to cut.
-_NOT_A_CUT = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r" (?=\S)")
-#: The tokenizers' split pattern for text below U+0250, with its letters, numbers and white space spelled out.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-#: Longer pieces are forgotten after the run of texts that has them.
-KEPT_LENGTH = 64
-
-
-def cut(text: str) -> list[str]:
-    """The pieces of a text; all but the first have lost the space they begin with."""
-    return text.split(" ") if _NOT_A_CUT.search(text) is None else _CUT.split(text)
-
+import numpy as np
 
+#: The tokenizers' split pattern for text below U+0250, with its letters, numbers and white space spelled out.
+LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself where printable, else one from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -57,68 +46,101 @@ class Vocabulary:
         self._at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._path, self._split = path, None
 
-    def words(self, piece: str) -> Iterator[bytes | int]:
-        """The words that merges stay inside of, as bytes; special strings as their ids."""
-        for k, part in enumerate(self._at_special.split(piece) if self._at_special else [piece]):
-            if k % 2:
-                yield self.special[part]
-            elif _BEYOND_LATIN.search(part) is None:
-                for word in _LATIN_WORDS.findall(part):
-                    yield word.encode()
-            else:
-                if self._split is None:  # the library's own splitter knows its Unicode version
-                    from tokenizers import Tokenizer
-
-                    self._split, self._back = Tokenizer.from_file(self._path).pre_tokenizer, {c: b for b, c in enumerate(byte_characters())}
-                for word, _ in self._split.pre_tokenize_str(part):
-                    yield bytes(map(self._back.__getitem__, word))
-
-
-def grouped(texts: list[str], size: int = 1 << 20, cut: Callable[[str], list[str]] = cut) -> Iterator[tuple[int, list[list[str]]]]:
-    """(place of the first, pieces of each) for runs of texts of about size characters, or one longer text."""
-    run: list[list[str]] = []
-    start = chars = 0
-    for i, text in enumerate(texts):
-        if run and chars + len(text) > size:
-            yield start, run
-            run, start, chars = [], i, 0
-        run.append(cut(text))
-        chars += len(text)
-    if run:
-        yield start, run
+    def words(self, text: str) -> list[str | bytes | int]:
+        """The words that merges stay inside of (str, or bytes where the library's splitter was needed), and
+        special strings as their ids."""
+        if self._at_special is None or not any(x in text for x in self.special):
+            return self._plain(text)
+        found: list[str | bytes | int] = []
+        for k, part in enumerate(self._at_special.split(text)):
+            found += [self.special[part]] if k % 2 else self._plain(part)
+        return found
+
+    def _plain(self, text: str) -> list[str] | list[bytes]:
+        if BEYOND_LATIN.search(text) is None:
+            return _LATIN_WORDS.findall(text)
+        if self._split is None:  # the library's own splitter knows its Unicode version
+            from tokenizers import Tokenizer
 
+            self._split, self._back = Tokenizer.from_file(self._path).pre_tokenizer, {c: b for b, c in enumerate(byte_characters())}
+        return [bytes(map(self._back.__getitem__, word)) for word, _ in self._split.pre_tokenize_str(text)]
 
-class Memo:
-    """What a function of (list of distinct pieces) gave, looked up by piece.
 
-    Two generations of at most `limit` pieces: when the young one is full it becomes the old one, and what
-    is asked for again moves on from there, so that memory is bounded and frequent pieces stay. `lost` is what cutting took from all pieces but the first.
+class Numbers(dict):
+    """Numbers words as they are first asked for; new holds those since it was last cleared."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, word: object) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+class WordTable:
+    """The ids of each distinct word, computed once and looked up by number.
+
+    It is emptied when it holds more than `limit` words or `chars` characters, which bounds its memory.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 250_000, lost: str = " ") -> None:
-        self.compute, self.limit, self.lost = compute, limit, lost
-        self.young: tuple[dict, dict] = {}, {}
-        self.old: tuple[dict, dict] = {}, {}
-
-    def look_up(self, run: list[list[str]]) -> Iterator[list]:
-        """For each text's pieces, what belongs to them."""
-        if sum(map(len, self.young)) > self.limit:
-            self.old, self.young = self.young, ({}, {})
-        first, rest = self.young
-        asked_first = {p[0] for p in run} - first.keys()
-        asked_rest = {x for p in run for x in p[1:] if x not in rest}
-        new: list[tuple[dict, str]] = []
-        for asked, young, old in ((asked_first, first, self.old[0]), (asked_rest, rest, self.old[1])):
-            for x in asked:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    new.append((young, x))
-        if new:
-            for (young, x), value in zip(new, self.compute([x if young is first else self.lost + x for young, x in new]), strict=True):
-                young[x] = value
-        for p in run:
-            yield [first[p[0]], *map(rest.__getitem__, p[1:])]
-        for young, x in new:
-            if len(x) > KEPT_LENGTH:
-                del young[x]
+    def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, chars: int = 12_000_000) -> None:
+        self._encode_new, self._limit, self._most = encode_new, limit, chars
+        self._reset()
+
+    def _reset(self) -> None:
+        self._numbers, self._chars = Numbers(), 0
+        self._flat, self._begin, self._size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._known = self._used = 0
+
+    def _learn(self) -> None:
+        new = self._numbers.new
+        if not new:
+            return
+        ids, sizes = self._encode_new(new)
+        n = self._known + len(new)
+        while n > len(self._begin):
+            self._begin, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._begin, self._size))
+        while self._used + len(ids) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._used : self._used + len(ids)] = ids
+        self._begin[self._known : n], self._size[self._known : n] = self._used + np.cumsum(sizes) - sizes, sizes
+        self._known, self._used = n, self._used + len(ids)
+        self._chars += sum(1 if isinstance(w, int) else len(w) for w in new)
+        new.clear()
+
+    def _numbered(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of all words, running ends of their ids, where each text begins and the last ends)."""
+        if len(self._numbers) > self._limit or self._chars > self._most:
+            self._reset()
+        number = self._numbers.__getitem__
+        words = [np.fromiter(map(number, t), np.int64, len(t)) for t in texts]
+        self._learn()
+        flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+        ends = np.cumsum(self._size[flat])
+        return flat, ends, np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+
+    def ids(self, texts: list[list]) -> list[np.ndarray]:
+        """The ids of each text, given its words."""
+        flat, ends, edges = self._numbered(texts)
+        size = self._size[flat]
+        ids = self._flat[np.arange(int(edges[-1])) + np.repeat(self._begin[flat] - ends + size, size)]
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
+
+    def counts(self, texts: list[list]) -> list[int]:
+        """The number of ids of each text; for tables whose encode_new gives sizes and no ids."""
+        return np.diff(self._numbered(texts)[2]).tolist()
+
+
+def runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """texts in runs of about size characters, or one longer text."""
+    run: list[str] = []
+    chars = 0
+    for text in texts:
+        if run and chars + len(text) > size:
+            yield run
+            run, chars = [], 0
+        run.append(text)
+        chars += len(text)
+    if run:
+        yield run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import arrow_map, batch_of, texts_of
-from ._pieces import Memo, Vocabulary, grouped
+from ._pieces import Vocabulary, WordTable, runs
 from .token_counts import merges_of, pair_ranks
 
 _NEVER = np.int64(1 << 60)
@@ -51,7 +51,7 @@ class SpeculativeCodec:
         for t in self._match:
             self._longest[t[:2]] = max(self._longest.get(t[:2], 0), len(t))
         self.speculated = self.exact = 0
-        self.memo = Memo(self._encode_pieces)
+        self.table = WordTable(self._encode_new)
         self._text_of = [str(i) for i in range(v.size)]
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,17 +106,16 @@ class SpeculativeCodec:
         self.speculated, self.exact = self.speculated + len(words) - len(failed), self.exact + len(failed)
         return proposed
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = [list(self.vocabulary.words(p)) for p in pieces]
-        words = list(dict.fromkeys(w for p in parts for w in p if not isinstance(w, int)))
-        ids = dict(zip(words, self.encode_words(words), strict=True))
-        return [np.array([t for w in p for t in ([w] if isinstance(w, int) else ids[w])], "<u4").tobytes() for p in parts]
+    def _encode_new(self, words: list[str | bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode_words([b"" if isinstance(w, int) else w.encode() if isinstance(w, str) else w for w in words])
+        found = [[w] if isinstance(w, int) else x for w, x in zip(words, ids, strict=True)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((t for x in found for t in x), "<u4", int(sizes.sum())), sizes
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for _, run in grouped(texts):
-            for found in self.memo.look_up(run):
-                yield np.frombuffer(b"".join(found), "<u4")
+        for run in runs(texts):
+            yield from self.table.ids([self.vocabulary.words(t) for t in run])
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))

@@ -12,11 +12,12 @@ import functools
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import arrow_map, batch_of, texts_of
-from ._pieces import Memo, Vocabulary, grouped
+from ._pieces import Vocabulary, WordTable, runs
 
 
 def pair_ranks(merges: list[tuple[int, int, int]]) -> tuple[dict[int, int], list[int]]:
@@ -65,16 +66,17 @@ class Counter:
         self.vocabulary = v = Vocabulary(path)
         self.start = [v.ids[bytes([b])] for b in range(256)]
         self.rank, self.made = pair_ranks(v.merges)
-        self.memo = Memo(self._counts)
+        self.table = WordTable(self._counts)
 
     def count_word(self, word: bytes) -> int:
         return len(word) - merges_of(word, self.start, self.rank, self.made)[0] if len(word) > 1 else len(word)
 
-    def _counts(self, pieces: list[str]) -> list[int]:
-        return [sum(1 if isinstance(w, int) else self.count_word(w) for w in self.vocabulary.words(p)) for p in pieces]
+    def _counts(self, words: list[str | bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+        counts = [1 if isinstance(w, int) else self.count_word(w.encode() if isinstance(w, str) else w) for w in words]
+        return np.zeros(0, "<u4"), np.array(counts, np.int64)
 
     def count(self, texts: list[str]) -> list[int]:
-        return [sum(found) for _, run in grouped(texts) for found in self.memo.look_up(run)]
+        return [n for run in runs(texts) for n in self.table.counts([self.vocabulary.words(t) for t in run])]
 
 
 @functools.lru_cache(maxsize=2)
