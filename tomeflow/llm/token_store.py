@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,18 +28,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, batch_of, bucket_count, drop_stored, shared_dir, texts_of
-from ._pieces import Memo, grouped
+from ._pieces import BEYOND_LATIN, LETTERS, NUMBERS, SPACES, WordTable, runs
 
 END_ID = 1
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 8, 9, 64, 4096
 
 
 class IdEncoder:
-    """The tokenizers library over whole texts, asked once for each distinct space-delimited piece.
+    """The tokenizers library over whole texts, asked once for each distinct word.
 
-    The tokenizer must drop white space (its split never joins what a space divides).
+    For a tokenizer that lower-cases, drops white space and marks each word's last token with a suffix, a
+    text that is below U+0250 in lower case and without special strings falls into words (by the tokenizer's own split pattern) that
+    are encoded apart; the library gets the new words of a run of texts in one line. Any other text it gets
+    whole.
     """
 
+    _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -45,17 +52,41 @@ class IdEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.memo = Memo(self._encode, lost="")
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        size = self.library.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        spec = json.loads(self.library.to_str())
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.by_word = bool(suffix) and {"type": "Lowercase"} in (spec["normalizer"] or {}).get("normalizers", [])
+        self.special = [a["content"] for a in spec["added_tokens"]]
+        self._last = np.zeros(size, bool)
+        for token, i in self.library.get_vocab().items():
+            self._last[i] = bool(suffix) and token.endswith(suffix)
+        self.table = WordTable(self._encode_new)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate(self._whole([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]))
+        ends = np.flatnonzero(self._last[ids]) + 1
+        if len(ends) != len(words):  # a word whose end the vocabulary can't spell
+            found = self._whole(words)
+            ids, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
+        return ids, np.diff(ends, prepend=0)
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        lower = [t.lower() for t in texts]
+        odd = [i for i, t in enumerate(lower) if not self.by_word or BEYOND_LATIN.search(t) or any(x in t for x in self.special)]
+        for i in odd:
+            lower[i] = ""
+        found = self.table.ids([self._WORDS.findall(t) for t in lower])
+        for i, x in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+            found[i] = x
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for _, run in grouped(texts, cut=lambda t: t.split(" ")):
-            for found in self.memo.look_up(run):
-                yield np.frombuffer(b"".join(found), "<u4")
+        for run in runs(texts):
+            yield from self._run(run)
 
 
 @functools.lru_cache(maxsize=2)
