@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, sharding, token_counts, token_store
+from . import bpe, decontaminate, media, quality, sharding, token_counts, token_store
 from ._common import table
 
 
@@ -21,6 +21,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(spark, at)
 
 
+def op2_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -44,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_co_training": op2_co_training,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_lpt_shards": op4_lpt_shards,
     "op5_iso_media": op5_iso_media,
