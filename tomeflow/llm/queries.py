@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, quality, sharding, token_counts, token_store
+from . import bpe, decontaminate, line_dedup, media, minhash, quality, sharding, substring_dedup, token_counts, token_store
 from ._common import table
 
 
@@ -37,11 +37,23 @@ def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op6_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op7_unit_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.stored_index(table(spark, sf_dir, "documents"))
     return decontaminate.contamination(decontaminate.phrase_matches(index, table(spark, sf_dir, "benchmark")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -52,7 +64,10 @@ QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_lpt_shards": op4_lpt_shards,
     "op5_iso_media": op5_iso_media,
+    "op6_bag_min_hash": op6_bag_min_hash,
+    "op7_unit_hashing": op7_unit_hashing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
