@@ -1,11 +1,11 @@
 """Quality classification by co-training a text view and a metadata view.
 
-Each view is a naive Bayes classifier over its own bins that keeps only bins whose class counts differ
-significantly. The text view has a bin for each hashed word and for each level of some ratios (capitals,
-marks, repetition ...); the metadata view has bins for the other columns. Fitting needs nothing but counts of
-bins by class, which Spark sums over all rows, so no sample is drawn. In each round a view's confident
-predictions on unlabelled documents become weighted labels for the other view. Scores of both views are
-calibrated on labelled rows held out from fitting and added as log-odds.
+Each view is a logistic regression over its own bins. The text view has a bin for each hashed word and for
+each level of some ratios (capitals, marks, repetition ...) and fits those that tell the classes apart; the
+metadata view has bins for the other columns. Fitting takes at most about `LABELLED` labelled texts, each
+text once. In each round both views score all unlabelled documents, and up to about `PSEUDO` of a view's
+confident ones become weighted labels for the other. Scores of both views are calibrated on labelled texts
+held out from fitting and added as log-odds; all documents are scored.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_map, batch_of, stored_at, texts_of
 
-CLEAN, LOW, TOXIC = 0, 1, 2
-CLASSES = 3
+#: Bounds of the rows that a view is fitted to, and of the words that the text view keeps.
+LABELLED, PSEUDO, KEPT_WORDS = 12_000, 4_000, 512
 WORD_BINS, RATIO_BINS, META_BINS = 1 << 18, 1 << 10, 1 << 12
 TEXT_BINS = WORD_BINS + RATIO_BINS
 
@@ -46,7 +46,7 @@ def text_bins(text: str) -> np.ndarray:
         share(_UPPER), share(_DIGIT), share(b"!"), share(b"|"), share(b"#$%&*~^_=+"), share(b"\n"), 1 - marks,
         len(distinct) / max(1, len(words)), len(set(tokens)) / max(1, len(tokens)),
         sum(a == b for a, b in zip(tokens, tokens[1:])) / max(1, len(tokens)),
-        min(1.0, len(tokens) / n * 3), min(1.0, math.log2(1 + len(tokens)) / 20),
+        min(1.0, len(tokens) / n * 3),
     ]
     levels = np.searchsorted(_EDGES, ratios, "right") + 32 * np.arange(len(ratios)) + WORD_BINS
     hashed = np.fromiter((zlib.crc32(w) & (WORD_BINS - 1) for w in distinct), np.int64, len(distinct))
@@ -64,49 +64,59 @@ def meta_bins(values: list[tuple[str, object]]) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(x.encode()) & (META_BINS - 1) for x in said], "<i4"))
 
 
+def _distinguishing(flat: np.ndarray, of: np.ndarray, bad: np.ndarray, bins: int, most: int) -> np.ndarray:
+    """The words (bins below `bins`) whose share among all distinct words differs most surely by class."""
+    word = flat < bins
+    x1 = np.bincount(flat[word & bad[of]], minlength=bins).astype(float)
+    x0 = np.bincount(flat[word & ~bad[of]], minlength=bins).astype(float)
+    n1, n0 = max(1.0, x1.sum()), max(1.0, x0.sum())
+    p = (x0 + x1) / (n0 + n1)
+    ratio = sum(2 * np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * p, 1e-12)), 0) for x, n in ((x0, n0), (x1, n1)))
+    best = np.argsort(-ratio, kind="stable")[:most]
+    return best[ratio[best] > 12]
+
+
 @dataclass
 class View:
-    """Counts of a view's bins by class, and the weights and calibration that follow from them."""
+    """A weight for each bin, an intercept, and the calibration of their sum."""
 
     bins: int
-    counts: np.ndarray = field(init=False)
-    docs: np.ndarray = field(init=False)
+    #: So many of the first bins are words.
+    words: int = 0
     weights: np.ndarray = field(init=False)
-    prior: np.ndarray = field(init=False)
+    intercept: float = 0.0
     slope: float = 1.0
     offset: float = 0.0
 
     def __post_init__(self) -> None:
-        self.counts, self.docs = np.zeros((self.bins, CLASSES)), np.zeros(CLASSES)
-        self.weights, self.prior = np.zeros((self.bins, CLASSES), np.float32), np.zeros(CLASSES)
-
-    def fit(self, significance: float) -> None:
-        """Log-odds of each class against clean, for bins whose likelihood ratio is significant."""
-        self.prior = np.log((self.docs + 0.5) / (self.docs[CLEAN] + 0.5))
-        n0, x0 = self.docs[CLEAN], self.counts[:, CLEAN]
-        for c in range(1, CLASSES):
-            n1, x1 = self.docs[c], self.counts[:, c]
-            if not n0 or not n1:
-                self.weights[:, c] = 0
-                continue
-            p = (x0 + x1) / (n0 + n1)
-            ratio = np.zeros(self.bins)
-            for x, n in ((x0, n0), (x1, n1), (n0 - x0, n0), (n1 - x1, n1)):
-                expected = n * (p if x is x0 or x is x1 else 1 - p)
-                ratio += 2 * np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(expected, 1e-12)), 0)
-            odds = np.log((x1 + 0.5) / (n1 + 1)) - np.log((x0 + 0.5) / (n0 + 1))
-            self.weights[:, c] = np.where(ratio >= significance**2, odds, 0)
-
-    def scores(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-odds of the likeliest rejected class against clean, that class) of each row's bins."""
+        self.weights = np.zeros(self.bins, np.float32)
+
+    def fit(self, packed: list[bytes], bad: np.ndarray, weight: np.ndarray, steps: int = 300, decay: float = 2e-3) -> None:
+        """Logistic regression by gradient steps of own size for each weight (Adam), decayed towards 0."""
         n = np.array([len(x) // 4 for x in packed], np.int64)
+        flat, of = np.frombuffer(b"".join(packed), "<i4"), np.repeat(np.arange(len(packed)), n)
+        chosen = np.concatenate([_distinguishing(flat, of, bad, self.words, KEPT_WORDS), np.unique(flat[flat >= self.words])]).astype(np.int64)
+        place = np.full(self.bins, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        keep = place[flat] >= 0
+        column, row = place[flat[keep]], of[keep]
+        w, first, second = np.zeros((3, len(chosen) + 1))
+        share = weight / weight.sum()
+        for t in range(1, steps + 1):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(packed)) + w[-1], -35, 35)))
+            error = share * (p - bad)
+            gradient = np.append(np.bincount(column, error[row], len(chosen)) + decay / 10 * w[:-1], error.sum())
+            first = 0.9 * first + 0.1 * gradient
+            second = 0.99 * second + 0.01 * gradient**2
+            w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        self.weights = np.zeros(self.bins, np.float32)
+        self.weights[chosen], self.intercept = w[:-1], float(w[-1])
+
+    def scores(self, packed: list[bytes]) -> np.ndarray:
+        """The log-odds of each row's bins, uncalibrated."""
         flat = np.frombuffer(b"".join(packed), "<i4")
-        sums = np.zeros((len(packed), CLASSES))
-        of = np.repeat(np.arange(len(packed)), n)
-        for c in range(1, CLASSES):
-            sums[:, c] = np.bincount(of, self.weights[flat, c], len(packed)) + self.prior[c]
-        best = 1 + sums[:, 1:].argmax(axis=1)
-        return np.clip(sums[np.arange(len(packed)), best], -30, 30), best
+        of = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
+        return np.clip(np.bincount(of, self.weights[flat], len(packed)) + self.intercept, -30, 30)
 
     def logits(self, scores: np.ndarray) -> np.ndarray:
         return self.slope * scores + self.offset
@@ -114,153 +124,115 @@ class View:
     def calibrate(self, histogram: dict[float, tuple[float, float]]) -> None:
         """Fits slope and offset to (good, bad) counts by score, held near 1 and 0 where rows are few."""
         self.slope, self.offset = 1.0, 0.0
+        if not histogram:
+            return
         s = np.array(list(histogram), float)
         good, bad = (np.array([histogram[x][k] for x in histogram], float) for k in (0, 1))
-        n = good + bad
-        for _ in range(50 if len(s) else 0):
-            p = 1 / (1 + np.exp(-np.clip(self.logits(s), -35, 35)))
-            w = n * p * (1 - p) + 1e-9
-            gradient = np.array([((p * n - bad) * s).sum() + 20 * (self.slope - 1), (p * n - bad).sum() + self.offset])
-            hessian = np.array([[(w * s * s).sum() + 20, (w * s).sum()], [(w * s).sum(), w.sum() + 1]])
-            step = np.linalg.solve(hessian, gradient)
-            self.slope, self.offset = max(0.0, self.slope - step[0]), self.offset - step[1]
+
+        def loss(at: np.ndarray) -> float:
+            z = at[0] * s + at[1]
+            return float((good * np.logaddexp(0, z) + bad * np.logaddexp(0, -z)).sum() + 2 * (at[0] - 1) ** 2 + at[1] ** 2 / 2)
+
+        at = np.array([1.0, 0.0])
+        for _ in range(100):  # Newton's steps, halved until they lower the loss
+            p = 1 / (1 + np.exp(-np.clip(at[0] * s + at[1], -35, 35)))
+            w, error = (good + bad) * p * (1 - p), (good + bad) * p - bad
+            gradient = np.array([(error * s).sum() + 4 * (at[0] - 1), error.sum() + at[1]])
+            step = np.linalg.solve([[(w * s * s).sum() + 4, (w * s).sum()], [(w * s).sum(), w.sum() + 1]], gradient)
+            while abs(step).max() > 1e-7 and loss(at - step) > loss(at):
+                step /= 2
+            at = at - step
             if abs(step).max() < 1e-6:
                 break
+        self.slope, self.offset = max(0.0, at[0]), at[1]
 
 
-FEATURES = "doc_id long, row long, text_bins binary, meta_bins binary"
+FEATURES = "doc_id long, row long, digest long, text_bins binary, meta_bins binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text) and the bins of both views of every row of docs.
+    """doc_id, row (a hash of doc_id and text), digest (of the text) and the bins of both views of every row of docs.
 
     Metadata are all columns but doc_id and text that hold strings or numbers; null is a value of its own.
     """
     kinds = ("string", "int", "bigint", "smallint", "tinyint", "float", "double")
     meta = [c for c, kind in docs.dtypes if kind in kinds and c not in ("doc_id", "text")]
-    chosen = docs.select("doc_id", "text", F.xxhash64("doc_id", "text"), *(F.col(f"`{c}`") for c in meta)).toDF("doc_id", "text", "row", *(f"m{i}" for i in range(len(meta))))
+    chosen = docs.select("doc_id", "text", F.xxhash64("doc_id", "text"), F.xxhash64("text"), *(F.col(f"`{c}`") for c in meta)).toDF("doc_id", "text", "row", "digest", *(f"m{i}" for i in range(len(meta))))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch)
-        columns = [batch.column(3 + i).to_pylist() for i in range(len(meta))]
+        columns = [batch.column(4 + i).to_pylist() for i in range(len(meta))]
         values = zip(*columns, strict=True) if columns else ((),) * len(texts)
-        yield batch_of({"doc_id": batch.column(0), "row": batch.column(2), "text_bins": [text_bins(t).tobytes() for t in texts], "meta_bins": [meta_bins(list(zip(meta, v))).tobytes() for v in values]}, {"text_bins": pa.binary(), "meta_bins": pa.binary()})
+        yield batch_of({"doc_id": batch.column(0), "row": batch.column(2), "digest": batch.column(3), "text_bins": [text_bins(t).tobytes() for t in texts], "meta_bins": [meta_bins(list(zip(meta, v))).tobytes() for v in values]}, {"text_bins": pa.binary(), "meta_bins": pa.binary()})
 
     return arrow_map(chosen, run, FEATURES)
 
 
-_COUNTS = "view int, bin int, c0 double, c1 double, c2 double"
-#: In counts, the bin that stands for the number of documents.
-_ALL = -1
-
-
-def _summed(rows: DataFrame, views: list[View]) -> None:
-    """Adds counts by view, bin and class, summed over all tasks, to the views."""
-    found = rows.groupBy("view", "bin").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(CLASSES))).toPandas()
-    for k, view in enumerate(views):
-        own = found[found["view"] == k]
-        values = own[[f"c{c}" for c in range(CLASSES)]].to_numpy()
-        bins = own["bin"].to_numpy()
-        np.add.at(view.counts, bins[bins >= 0], values[bins >= 0])
-        view.docs += values[bins == _ALL].sum(axis=0) if (bins == _ALL).any() else 0
-
-
-def _emit(tables: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for k, (table, n) in enumerate(zip(tables, docs, strict=True)):
-        bins = np.flatnonzero(table.any(axis=1))
-        rows = np.vstack([table[bins], n[None]])
-        yield batch_of({"view": np.full(len(rows), k, np.int32), "bin": np.append(bins, _ALL).astype(np.int32)} | {f"c{c}": rows[:, c] for c in range(CLASSES)}, {})
-
-
-def _tally(table: np.ndarray, docs: np.ndarray, packed: list[bytes], classes: np.ndarray, weight: float) -> None:
-    for c in range(CLASSES):
-        chosen = [p for p, k in zip(packed, classes.tolist(), strict=True) if k == c]
-        docs[c] += weight * len(chosen)
-        if chosen:
-            table[:, c] += weight * np.bincount(np.frombuffer(b"".join(chosen), "<i4"), minlength=len(table))
-
+@dataclass
+class Model:
+    text: View
+    meta: View
+    prior: float
 
-def _label_counts(labelled: DataFrame, views: list[View]) -> None:
-    sizes = [v.bins for v in views]
+    def probabilities(self, text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(by text, by metadata, by both) that a document is to be rejected."""
+        a, b = self.text.logits(self.text.scores(text)), self.meta.logits(self.meta.scores(meta))
+        return tuple(1 / (1 + np.exp(-np.clip(x, -35, 35))) for x in (a, b, a + b - self.prior))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, docs = [np.zeros((n, CLASSES)) for n in sizes], [np.zeros(CLASSES) for _ in sizes]
-        for b in batches:
-            classes = np.array(b.column(2).to_pylist(), int)
-            for k in range(2):
-                _tally(tables[k], docs[k], b.column(k).to_pylist(), classes, 1.0)
-        yield from _emit(tables, docs)
 
-    _summed(labelled.select("text_bins", "meta_bins", "label").mapInArrow(run, _COUNTS), views)
+def _sampled(rows: DataFrame, most: int, total: int) -> DataFrame:
+    """About `most` of `total` rows, chosen by their digest alone."""
+    part = min(1_000_000, int(1_000_000 * most / max(1, total)))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "digest"), F.lit(1_000_000)) < part)
 
 
-def _pseudo_counts(unlabelled: DataFrame, views: list[View], confident: float, weight: float) -> list[View]:
-    """Counts from each view's confident predictions, for the other view."""
+def _confident(rows: DataFrame, views: list[View], confident: float) -> DataFrame:
+    """Of all rows, those that a view is sure of: view, bad, digest and the bins of the other view."""
     limit = math.log(confident / (1 - confident))
-    given = [View(v.bins) for v in views]
-    sizes = [v.bins for v in views]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, docs = [np.zeros((n, CLASSES)) for n in sizes], [np.zeros(CLASSES) for _ in sizes]
-        for b in batches:
-            packed = [b.column(k).to_pylist() for k in range(2)]
-            for k in range(2):
-                scores, best = views[k].scores(packed[k])
-                logits = views[k].logits(scores)
-                classes = np.where(logits >= limit, best, np.where(logits <= -limit, CLEAN, -1))
-                _tally(tables[1 - k], docs[1 - k], packed[1 - k], classes, weight)
-        yield from _emit(tables, docs)
-
-    _summed(unlabelled.select("text_bins", "meta_bins").mapInArrow(run, _COUNTS), given)
-    return given
 
-
-def _calibrate(held: DataFrame, views: list[View]) -> None:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        packed = [batch.column(1 + k).to_pylist() for k in range(2)]
         for k in range(2):
-            scores, _ = views[k].scores(batch.column(k).to_pylist())
-            yield batch_of({"view": np.full(len(scores), k, np.int32), "score": np.round(scores * 4) / 4, "bad": np.array([x != CLEAN for x in batch.column(2).to_pylist()], np.int64)}, {})
-
-    rows = arrow_map(held.select("text_bins", "meta_bins", "label"), run, "view int, score double, bad long")
-    found = rows.groupBy("view", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).collect()
-    for k, view in enumerate(views):
-        view.calibrate({r["score"]: (r["n"] - r["bad"], r["bad"]) for r in found if r["view"] == k})
+            logits = views[k].logits(views[k].scores(packed[k]))
+            sure = np.flatnonzero(abs(logits) >= limit)
+            at = pa.array(sure)
+            yield batch_of({"view": np.full(len(sure), k, np.int32), "bad": logits[sure] > 0, "digest": batch.column(0).take(at), "bins": batch.column(2 - k).take(at)}, {})
 
+    return arrow_map(rows.select("digest", "text_bins", "meta_bins"), run, "view int, bad boolean, digest long, bins binary")
 
-@dataclass
-class Model:
-    text: View
-    meta: View
-    prior: float
-
-    def probabilities(self, text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(by text, by metadata, by both) that a document is to be rejected."""
-        a = self.text.logits(self.text.scores(text)[0])
-        b = self.meta.logits(self.meta.scores(meta)[0])
-        return tuple(1 / (1 + np.exp(-np.clip(x, -35, 35))) for x in (a, b, a + b - self.prior))
 
+def co_train(rows: DataFrame, rounds: int = 2, confident: float = 0.98, weight: float = 0.25, held_out: float = 0.25) -> Model | None:
+    """Fits both views to rows (digest, bins and bad; bad is null where unlabelled).
 
-def co_train(rows: DataFrame, rounds: int = 2, confident: float = 0.98, weight: float = 0.25, significance: float = 4.5, held_out: float = 0.2) -> Model | None:
-    """Fits both views to rows (bins and label; null where unlabelled); None without labels of both kinds."""
-    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(1000)) < int(held_out * 1000)
-    seen = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
-    if not seen.get(CLEAN) or not (seen.get(LOW) or seen.get(TOXIC)):
+    None without labels of both kinds. Of rows with equal text one counts, as bad if any is.
+    """
+    labelled = rows.where("bad is not null").groupBy("digest").agg(F.max("bad").alias("bad"), F.first("text_bins").alias("text_bins"), F.first("meta_bins").alias("meta_bins"))
+    counts = {r["bad"]: r["count"] for r in rows.where("bad is not null").select("digest", "bad").groupBy("digest").agg(F.max("bad").alias("bad")).groupBy("bad").count().collect()}
+    if not counts.get(True) or not counts.get(False):
         return None
-    labelled = rows.where("label is not null")
-    base = [View(TEXT_BINS), View(META_BINS)]
-    _label_counts(labelled.where(~held), base)
-    views, pseudo = base, [None, None]
+    known = _sampled(labelled, LABELLED, sum(counts.values())).select("digest", "bad", "text_bins", "meta_bins").orderBy("digest").limit(2 * LABELLED).toPandas()
+    held = (np.arange(len(known)) % 100) < 100 * held_out
+    bad = known["bad"].to_numpy(bool)
+    bins = [known[c].map(bytes).tolist() for c in ("text_bins", "meta_bins")]
+    pick = lambda values, mask: [v for v, m in zip(values, mask) if m]
+    extra: list[tuple[list[bytes], np.ndarray]] = [([], np.zeros(0, bool))] * 2
     for k in range(rounds + 1):
-        views = [View(b.bins) for b in base]
-        for v, b, p in zip(views, base, pseudo, strict=True):
-            v.counts, v.docs = (b.counts + p.counts, b.docs + p.docs) if p else (b.counts, b.docs)
-            v.fit(significance)
-            v.prior = np.log((b.docs + 0.5) / (b.docs[CLEAN] + 0.5))  # pseudo-labels don't say how common a class is
-        _calibrate(labelled.where(held), views)
+        views = [View(TEXT_BINS, WORD_BINS), View(META_BINS)]
+        for v, own, (more, said) in zip(views, bins, extra, strict=True):
+            v.fit(pick(own, ~held) + more, np.concatenate([bad[~held], said]), np.concatenate([np.ones((~held).sum()), np.full(len(more), weight)]))
+            scores, histogram = np.round(v.scores(pick(own, held)) * 4) / 4, {}
+            for s, b in zip(scores.tolist(), bad[held].tolist()):
+                good_bad = histogram.get(s, (0, 0))
+                histogram[s] = (good_bad[0] + (not b), good_bad[1] + b)
+            v.calibrate(histogram)
         if k < rounds:
-            pseudo = _pseudo_counts(rows.where("label is null"), views, confident, weight)
-    bad = seen.get(LOW, 0) + seen.get(TOXIC, 0)
-    return Model(*views, prior=math.log(bad / seen[CLEAN]))
+            sure = _confident(rows.where("bad is null"), views, confident)
+            sizes = {(r["view"]): r["count"] for r in sure.groupBy("view").count().collect()}
+            for view in range(2):
+                found = _sampled(sure.where(F.col("view") == view), PSEUDO, sizes.get(view, 0)).limit(2 * PSEUDO).toPandas()
+                extra[1 - view] = (found["bins"].map(bytes).tolist(), found["bad"].to_numpy(bool))
+            extra = list(extra)
+    return Model(*views, prior=math.log(counts[True] / counts[False]))
 
 
 SCORES = "doc_id long, row long, p_text double, p_meta double, p_reject double, keep boolean"
@@ -274,8 +246,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **setti
     both kinds all is kept, with p_reject 0. Null texts are judged as empty ones. Repeated rows are judged
     alike, a null doc_id is judged but can't be labelled.
     """
-    by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 0, LOW).when(F.col("quality") == 1, CLEAN)).alias("label"))
-    rows, _ = stored_at(features(docs).join(by_doc, "doc_id", "left"), "quality", compression="zstd")
+    by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), True).when((F.col("toxic") == 0) | (F.col("quality") == 1), False)).alias("bad"))
+    rows, _ = stored_at(features(docs).join(by_doc.hint("merge"), "doc_id", "left"), "quality", compression="zstd")
     model = co_train(rows, **settings)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
