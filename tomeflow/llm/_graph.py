@@ -10,37 +10,51 @@ from pyspark.sql import functions as F
 from ._common import drop_stored, stored_at
 
 
-def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], reach: float, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """The links (a, b) among the members (bucket, id) of each bucket, up to what links already join.
+def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], reach: float, prepare: Callable[[DataFrame], None] | None = None, heads: int = 16) -> DataFrame:
+    """Links (a, b) among the members (bucket, id) of each bucket that join what all its links would join.
 
     measure takes pairs (a, b) and gives (a, b, d, linked) where d is a metric and linked implies d <= reach.
-    In a round every bucket measures its other members against one open member. Those linked to it are
-    closed. A closed member stays to be compared only if it could link to one still open: by the triangle
-    inequality, if its d + reach gets to the least d of the open ones. The bucket is done when none is open.
-    So every link of a bucket is measured, or both its ends are linked to the same third member; no round
-    makes more rows than it has members. prepare gets the ids of all members of buckets of two or more,
-    before anything is measured.
+    First all members of a bucket are measured against one, its centre. Then, round after round, up to
+    `heads` members of a bucket are measured against those that no link found in any bucket joins to them
+    yet, and leave it. Pairs whose distances to the centre differ by more than reach can't be linked and are
+    not measured, and members that have only such pairs left leave at once. So a pair is measured, or joined
+    by other links, or too far apart; a bucket that is one group is done after the first step, and no round
+    makes more rows than heads times members. prepare gets the ids of all members of buckets of two or
+    more, before anything is measured.
     """
     spark = members.sparkSession
-    active, path, links = members.withColumn("open", F.lit(True)), None, None
+    centres = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    joined, joined_at = stored_at(members.join(centres, "bucket").where("id <> head"), "star-members")
+    if prepare:
+        prepare(joined.select("id").unionByName(joined.select(F.col("head").alias("id"))).distinct())
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        return stored_at(measure(pairs.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()).dropDuplicates(["a", "b"]), "star-pairs")[0]
+
+    found = measured(joined)
+    links = found.where("linked").select("a", "b")
+    keyed = joined.select("bucket", "id", F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
+    state, state_at = stored_at(keyed.join(found, ["a", "b"]).select("bucket", "id", "d"), "star-state")
+    drop_stored(spark, joined_at)
     while True:
-        heads = active.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("id"))).alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and head is not null").drop("_n")
-        joined, joined_at = stored_at(active.join(heads, "bucket").where("id <> head"), "star-members")
-        if links is None and prepare:
-            prepare(joined.select("id").unionByName(joined.select(F.col("head").alias("id"))).distinct())
-        measured, measured_at = stored_at(measure(joined.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()).dropDuplicates(["a", "b"]), "star-pairs")
-        new = measured.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        seen = joined.join(measured, (F.col("head") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "id", "d", (F.col("open") & ~F.col("linked")).alias("open"))
-        lowest = seen.where("open").groupBy("bucket").agg(F.min("d").alias("_low"))
-        following, following_at = stored_at(seen.join(lowest, "bucket").where(F.col("open") | (F.col("d") + reach >= F.col("_low"))).select("bucket", "id", "open"), "star-open")
-        drop_stored(spark, joined_at)
-        if path:
-            drop_stored(spark, path)
-        active, path = following, following_at
+        labels = state.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        groups = labels.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("low"), F.max("d").alias("high"))
+        ends = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("low", "label")).alias("_low"), F.max(F.struct("high", "label")).alias("_high")).where("_k > 1").drop("_k")
+        others = groups.join(ends, "bucket").groupBy("bucket").agg(F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.min(F.when(F.col("label") != F.col("_low.label"), F.col("low"))).alias("_low2"), F.max(F.when(F.col("label") != F.col("_high.label"), F.col("high"))).alias("_high2"))
+        near = labels.join(groups.select("bucket", "label", "size"), ["bucket", "label"]).join(others, "bucket")
+        low = F.when(F.col("label") != F.col("_low.label"), F.col("_low.low")).otherwise(F.col("_low2"))
+        high = F.when(F.col("label") != F.col("_high.label"), F.col("_high.high")).otherwise(F.col("_high2"))
+        near = near.where((F.col("d") + reach >= low) & (F.col("d") - reach <= high)).select("bucket", "id", "d", "label", "size")
+        active, active_at = stored_at(near, "star-active")
+        drop_stored(spark, state_at)
         if active.isEmpty():
-            drop_stored(spark, path)
             return links.distinct()
+        chosen = active.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(heads)).alias("_slot")).agg(F.min(F.struct("size", "id", "label", "d")).alias("h"))
+        chosen = stored_at(chosen.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("_label"), F.col("h.d").alias("_d")), "star-heads")[0]
+        pairs = active.join(chosen, "bucket").where((F.col("label") != F.col("_label")) & (F.abs(F.col("d") - F.col("_d")) <= reach))
+        links = links.unionByName(measured(pairs).where("linked").select("a", "b"))
+        state, state_at = stored_at(active.select("bucket", "id", "d").join(chosen.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti"), "star-state")
+        drop_stored(spark, active_at)
 
 
 def components(links: DataFrame) -> DataFrame:
