@@ -81,7 +81,7 @@ class Numbers(dict):
 class WordTable:
     """The ids of each distinct word, computed once and looked up by number.
 
-    It is emptied when it holds more than `limit` words or `chars` characters, which bounds its memory.
+    It is emptied when it holds more than `limit` words or about `chars` characters, which bounds its memory.
     """
 
     def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, chars: int = 12_000_000) -> None:
@@ -106,7 +106,7 @@ class WordTable:
         self._flat[self._used : self._used + len(ids)] = ids
         self._begin[self._known : n], self._size[self._known : n] = self._used + np.cumsum(sizes) - sizes, sizes
         self._known, self._used = n, self._used + len(ids)
-        self._chars += sum(1 if isinstance(w, int) else len(w) for w in new)
+        self._chars += 4 * int(sizes.sum())  # four to a token
         new.clear()
 
     def _numbered(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

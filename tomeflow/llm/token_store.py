@@ -187,7 +187,7 @@ def write_store(docs: DataFrame, tokenizer: str) -> str:
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     found = _objects(docs, tokenizer).groupBy("key").agg(*(F.first(c).alias(c) for c in ("kind", "payload", "doc_id", "n_ids", "digests", "root")))
-    found.write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/objects")
+    found.write.partitionBy("kind").parquet(f"{at}/objects")
     recipes = _object_rows(spark, at, "recipe")
     parts = bucket_count(recipes.count())
     ordered = recipes.select("doc_id", "n_ids", "digests", "root").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
@@ -257,11 +257,23 @@ def _shift(size: int) -> int:
     return _times_x(8 * size)
 
 
-def crc_of_joined(parts: list[tuple[int, int]]) -> int:
-    """The crc32 of byte strings joined, from the crc32 and length of each."""
-    found = 0
-    for crc, size in parts:
-        found = _product(_shift(size), found) ^ crc if found else crc
+def crcs_of_joined(crcs: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The crc32 of each run of byte strings joined, from the crc32 and length of each string.
+
+    Run i is strings edges[i]:edges[i + 1]. The k-th strings of all runs are joined at once.
+    """
+    lengths, back = np.unique(sizes, return_inverse=True)
+    shift = np.array([_shift(int(n)) for n in lengths], np.uint64)[back] if len(sizes) else np.zeros(0, np.uint64)
+    found, counts = np.zeros(len(edges) - 1, np.uint64), np.diff(edges)
+    crcs, one, poly = crcs.astype(np.uint64), np.uint64(1), np.uint64(0xEDB88320)
+    for k in range(int(counts.max(initial=0))):
+        live = np.flatnonzero(counts > k)
+        at = edges[live] + k
+        a, b, product = found[live], shift[at], np.zeros(len(live), np.uint64)
+        for bit in range(31, -1, -1):
+            product ^= np.where(a >> np.uint64(bit) & one, b, np.uint64(0))
+            b = b >> one ^ np.where(b & one, poly, np.uint64(0))
+        found[live] = product ^ crcs[at]
     return found
 
 
@@ -275,14 +287,17 @@ def read_back(spark: SparkSession, at: str) -> DataFrame:
     whole = joined.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("place", "digest", "n", "crc"))).alias("chunks"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, crcs, good = [], [], []
-        for root, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            there = all(c["n"] is not None for c in chunks)
-            n.append(sum(c["n"] or 0 for c in chunks))
-            crcs.append(crc_of_joined([(c["crc"], 4 * c["n"]) for c in chunks]) if there else None)
-            good.append(there and merkle_root([c["digest"] for c in chunks]) == root)
-        roots = [r.hex() for r in batch.column(2).to_pylist()]
-        yield batch_of({"doc_id": batch.column(1), "start": batch.column(0), "n_tokens": n, "ids_crc32": crcs, "root": roots, "verified": good}, {"n_tokens": pa.int64(), "ids_crc32": pa.int64(), "root": pa.string(), "verified": pa.bool_()})
+        lists = batch.column(3)
+        edges = np.array(lists.offsets) - lists.offsets[0].as_py()
+        digests, n, crc = (lists.flatten().field(k) for k in (1, 2, 3))
+        missing, digests = np.array(n.is_null()), digests.to_pylist()
+        sizes = np.array(n.fill_null(0))
+        crcs = crcs_of_joined(np.array(crc.fill_null(0)), 4 * sizes, edges)
+        whole = [not missing[a:b].any() for a, b in zip(edges, edges[1:])]
+        roots = batch.column(2).to_pylist()
+        good = [w and merkle_root(digests[a:b]) == r for w, a, b, r in zip(whole, edges, edges[1:], roots)]
+        sums = np.concatenate([[0], np.cumsum(sizes)])[edges]
+        yield batch_of({"doc_id": batch.column(1), "start": batch.column(0), "n_tokens": np.diff(sums), "ids_crc32": pa.array(crcs.astype(np.int64), mask=~np.array(whole, bool)), "root": [r.hex() for r in roots], "verified": good}, {"root": pa.string(), "verified": pa.bool_()})
 
     return arrow_map(whole, run, "doc_id long, start long, n_tokens long, ids_crc32 long, root string, verified boolean")
 
