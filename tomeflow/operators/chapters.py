@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 HEADING_FONT, HEADING_LENGTH = 1.15, 120
-_ORDER = Window.partitionBy("book_id").orderBy("block_no")
+
+
+def _in_order():
+    return Window.partitionBy("book_id").orderBy("block_no")
 
 
 def is_heading(median: Column) -> Column:
@@ -27,7 +30,7 @@ def by_font(blocks: DataFrame, language: str = "en") -> DataFrame:
     """
     median = F.percentile("font_size", F.lit(0.5), F.length("text")).over(Window.partitionBy("book_id"))
     df = blocks.withColumn("kind", F.when(is_heading(median), "heading").otherwise("paragraph"))
-    df = df.withColumn("_run", F.count(F.when(F.col("kind") == "heading", 1)).over(_ORDER))
+    df = df.withColumn("_run", F.count(F.when(F.col("kind") == "heading", 1)).over(_in_order()))
     first = F.min("_run").over(Window.partitionBy("book_id"))
     title = F.first(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(Window.partitionBy("book_id", "_run"))
     return df.withColumn("chapter_idx", (F.col("_run") - first).cast("int")).withColumn("chapter_title", F.coalesce(title, F.lit(T.UNTITLED[language]))).drop("_run")
@@ -39,7 +42,7 @@ def cut_at_marks(blocks: DataFrame, marks: DataFrame, language: str = "en") -> D
     Blocks before the first mark are the opening chapter.
     """
     df = blocks.join(marks.select("book_id", "block_no", F.col("title").alias("_title"), F.col("is_heading").alias("_head")), ["book_id", "block_no"], "left")
-    df = df.withColumn("_run", F.count("_title").over(_ORDER))
+    df = df.withColumn("_run", F.count("_title").over(_in_order()))
     base = F.min("_run").over(Window.partitionBy("book_id"))
     title = F.first("_title", ignorenulls=True).over(Window.partitionBy("book_id", "_run"))
     kind = F.when(F.coalesce("_head", F.lit(False)), "heading").otherwise("paragraph")

@@ -23,8 +23,13 @@ COLUMN_TOLERANCE, COLUMN_BLOCKS, FULL_WIDTH = 0.04, 3, 0.7
 RULES = ("running_heads", "page_numbers", "figure_captions", "listings", "numeric_captions", "footnotes")
 RULE_LABELS = {"running_heads": "running heads", "page_numbers": "page numbers", "figure_captions": "figure captions", "listings": "listings and tables", "numeric_captions": "numeric captions", "footnotes": "footnotes"}
 
-_BOOK = Window.partitionBy("book_id")
-_PAGE = Window.partitionBy("book_id", "page")
+
+def _book():
+    return Window.partitionBy("book_id")
+
+
+def _page():
+    return Window.partitionBy("book_id", "page")
 
 
 def with_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -32,9 +37,9 @@ def with_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
     The median weighs each font size by the length of its text.
     """
-    sized = pages.withColumn("n_pages", F.count(F.lit(1)).over(_BOOK))
+    sized = pages.withColumn("n_pages", F.count(F.lit(1)).over(_book()))
     joined = blocks.repartition("book_id").join(sized, ["book_id", "page"])
-    return joined.withColumn("median_font", F.percentile("font_size", F.lit(0.5), F.length("text")).over(_BOOK))
+    return joined.withColumn("median_font", F.percentile("font_size", F.lit(0.5), F.length("text")).over(_book()))
 
 
 def weighted_median(blocks: DataFrame) -> DataFrame:
@@ -68,8 +73,8 @@ def guarded(df: DataFrame, name: str, drop: Column) -> DataFrame:
     """Marks rows in dropped_by, among those not marked, unless the page would keep less than its share."""
     alive = F.col("dropped_by").isNull()
     df = df.withColumn("_drop", alive & drop)
-    total = F.count(F.when(alive, 1)).over(_PAGE)
-    kept = F.count(F.when(alive & ~F.col("_drop"), 1)).over(_PAGE)
+    total = F.count(F.when(alive, 1)).over(_page())
+    kept = F.count(F.when(alive & ~F.col("_drop"), 1)).over(_page())
     spared = kept < total * (1 - MAX_DROP_SHARE)
     return df.withColumn("_drop", F.col("_drop") & ~spared).withColumn("dropped_by", F.when(F.col("_drop"), F.lit(name)).otherwise(F.col("dropped_by"))).drop("_drop")
 
@@ -91,8 +96,8 @@ def column_count() -> Column:
     middle, tolerance = F.col("width") / 2, F.col("width") * COLUMN_TOLERANCE
     narrow = F.col("x1") - F.col("x0") < F.col("width") * FULL_WIDTH
     is_left = F.col("x1") <= middle + tolerance
-    left = F.count(F.when(narrow & is_left, 1)).over(_PAGE)
-    right = F.count(F.when(narrow & ~is_left & (F.col("x0") >= middle - tolerance), 1)).over(_PAGE)
+    left = F.count(F.when(narrow & is_left, 1)).over(_page())
+    right = F.count(F.when(narrow & ~is_left & (F.col("x0") >= middle - tolerance), 1)).over(_page())
     return F.when((left >= COLUMN_BLOCKS) & (right >= COLUMN_BLOCKS), 2).otherwise(1)
 
 

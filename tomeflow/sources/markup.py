@@ -29,6 +29,8 @@ HTML_SKIPPED = ("table", "figure", "figcaption", "sup", "script", "style")
 FB2_SKIPPED = ("table", "annotation", "image", "text-author")
 FB2_CONTAINERS = ("cite", "epigraph", "poem", "stanza")
 FB2_TEXT = ("p", "subtitle", "v")
+#: Elements whose start ends an open paragraph, by the HTML standard.
+ENDS_P = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
@@ -51,12 +53,12 @@ class _Pieces(HTMLParser):
         self._parts = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if not self._skip and tag in ENDS_P and self._open and self._open[-1] == "p":
+            self.handle_endtag("p")
         if self._skip or tag in HTML_SKIPPED:
             self._skip += tag not in VOID
             return
         if tag in HTML_TEXT:
-            if tag == "p" and self._open and self._open[-1] == "p":
-                self.handle_endtag("p")
             self._flush()
             self._open.append(tag)
         name = dict(attrs).get("id")
