@@ -215,12 +215,13 @@ def phrase_matches(index: DataFrame, tests: DataFrame) -> DataFrame:
     A window is WINDOW consecutive words of a test text, or all its words where it has fewer. Test rows
     without item_id or text and texts without words match nothing; a repeated item_id counts once.
     """
-    blocks = [_search_block(index, b) for b in _blocks(tests)] or [_search_block(index, [])]
+    blocks = list(_blocks(tests)) or [[]]
     if len(blocks) == 1:
-        return blocks[0]
-    all_of = blocks[0]
+        return _search_block(index, blocks[0])
+    index = stored(index, "index", compression="zstd")  # segments are named by task, so they must be made once
+    all_of = _search_block(index, blocks[0])
     for b in blocks[1:]:
-        all_of = all_of.unionByName(b)
+        all_of = all_of.unionByName(_search_block(index, b))
     joined = all_of.groupBy("segment", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merge = """aggregate(spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (a, x) ->
       if(size(a) > 0 and x.start <= element_at(a, -1).stop,

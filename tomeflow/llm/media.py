@@ -222,7 +222,7 @@ def probe_column(media: DataFrame) -> DataFrame:
             if not tracks:
                 raise ValueError("no track")
         except (ValueError, KeyError, IndexError, struct.error) as e:
-            return (None, None, None, data and len(data), data and hashlib.sha256(data).hexdigest(), None, None, None, None, str(e) or type(e).__name__)
+            return (None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None, None, str(e) or type(e).__name__)
         t = tracks[0]
         payload = read_payload(data, t)
         seconds = t.duration / t.timescale if t.timescale else None
