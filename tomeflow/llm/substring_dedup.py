@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, batch_of, texts_of
 from ._words import Words, mixed, spans_hashed, text_runs
 
-CUT_EVERY, LEAST_WORDS, LONGEST = 8, 20, 127
+CUT_EVERY, LEAST_WORDS, LONGEST = 5, 20, 127
 #: key: 19 bits of the row's hash, 30 of the unit's place, 1 if the text has had the pair, then the words of the
 #: unit before and of the unit, 7 bits each. span: 35 bits of the first character, 28 of the length, of the pair.
 UNITS = "digest long, doc_id long, key long, span long"
