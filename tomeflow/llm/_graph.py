@@ -34,10 +34,11 @@ def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], re
     found = measured(joined)
     links = found.where("linked").select("a", "b")
     keyed = joined.select("bucket", "id", F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
-    state, state_at = stored_at(keyed.join(found, ["a", "b"]).select("bucket", "id", "d"), "star-state")
+    state = keyed.join(found, ["a", "b"]).select("bucket", "id", "d").join(components(links).toDF("id", "label"), "id", "left")
+    state, state_at = stored_at(state.withColumn("label", F.coalesce("label", "id")), "star-state")
     drop_stored(spark, joined_at)
     while True:
-        labels = state.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        labels = state
         groups = labels.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("low"), F.max("d").alias("high"))
         ends = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("low", "label")).alias("_low"), F.max(F.struct("high", "label")).alias("_high")).where("_k > 1").drop("_k")
         others = groups.join(ends, "bucket").groupBy("bucket").agg(F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.min(F.when(F.col("label") != F.col("_low.label"), F.col("low"))).alias("_low2"), F.max(F.when(F.col("label") != F.col("_high.label"), F.col("high"))).alias("_high2"))
@@ -52,8 +53,12 @@ def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], re
         chosen = active.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(heads)).alias("_slot")).agg(F.min(F.struct("size", "id", "label", "d")).alias("h"))
         chosen = stored_at(chosen.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("_label"), F.col("h.d").alias("_d")), "star-heads")[0]
         pairs = active.join(chosen, "bucket").where((F.col("label") != F.col("_label")) & (F.abs(F.col("d") - F.col("_d")) <= reach))
-        links = links.unionByName(measured(pairs).where("linked").select("a", "b"))
-        state, state_at = stored_at(active.select("bucket", "id", "d").join(chosen.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti"), "star-state")
+        new = measured(pairs).where("linked").select("a", "b")
+        links = links.unionByName(new)
+        named = pairs.groupBy(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).agg(F.min(F.least("label", "_label")).alias("_x"), F.max(F.greatest("label", "_label")).alias("_y"))
+        renamed = components(new.join(named, ["a", "b"]).select(F.col("_x").alias("a"), F.col("_y").alias("b"))).toDF("label", "_new")
+        left = active.join(chosen.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti").join(renamed, "label", "left")
+        state, state_at = stored_at(left.select("bucket", "id", "d", F.coalesce("_new", "label").alias("label")), "star-state")
         drop_stored(spark, active_at)
 
 
