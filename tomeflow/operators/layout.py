@@ -117,12 +117,16 @@ def merge_continuations(df: DataFrame) -> DataFrame:
     """Paragraphs of each book: (book_id, block_no, text, page, font_size).
 
     A block joins the one before if that is open (no terminal mark), the fonts agree with the first block
-    of the paragraph and the text stays short enough. What comes before decides, so it is a fold over the
-    ordered blocks of a book.
+    of the paragraph and the text stays short enough. After a block with a terminal mark a new paragraph
+    begins whatever came before, so a book falls into runs between such marks; only inside a run does what
+    came before decide, by a fold over its few blocks.
     """
     item = "struct<text:string,page:int,font:double>"
+    w = Window.partitionBy("book_id").orderBy("page", "order_no")
+    ended = F.lag(~T.is_open(F.col("text"))).over(w)
+    df = df.withColumn("_ended", F.coalesce(ended, F.lit(False)).cast("int")).withColumn("_run", F.sum("_ended").over(w))
     ordered = F.array_sort(F.collect_list(F.struct("page", "order_no", "text", F.col("font_size").cast("double").alias("font"))))
-    books = df.groupBy("book_id").agg(ordered.alias("_blocks"))
+    books = df.groupBy("book_id", "_run").agg(ordered.alias("_blocks"))
     open_ = f"not regexp_like(a.cur.text, '{T.TERMINAL_CLASS}(?U)[\\\\s\\\\x1c-\\\\x1f]*$')"
     fold = f"""aggregate(_blocks,
       struct(cast(array() as array<{item}>) as done, cast(null as {item}) as cur),
@@ -132,8 +136,9 @@ def merge_continuations(df: DataFrame) -> DataFrame:
           struct(a.done as done, struct(concat(a.cur.text, ' ', b.text) as text, a.cur.page as page, a.cur.font as font) as cur),
           struct(concat(a.done, array(a.cur)) as done, struct(b.text as text, b.page as page, b.font as font) as cur))),
       a -> if(a.cur is null, a.done, concat(a.done, array(a.cur))))"""
-    merged = books.select("book_id", F.posexplode(F.expr(fold)).alias("block_no", "b"))
-    return merged.select("book_id", "block_no", F.col("b.text").alias("text"), F.col("b.page").alias("page"), F.col("b.font").alias("font_size"))
+    merged = books.select("book_id", "_run", F.posexplode(F.expr(fold)).alias("_k", "b"))
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy("_run", "_k")) - 1
+    return merged.select("book_id", number.alias("block_no"), F.col("b.text").alias("text"), F.col("b.page").alias("page"), F.col("b.font").alias("font_size"))
 
 
 def cleaned_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def pick_voice(jobs: DataFrame, voices: DataFrame) -> DataFrame:
     default of language and gender, else the engine's first voice of that gender, else its first."""
     ordered = F.array_sort(F.collect_list(F.struct("voice_idx", "id", "gender")))
     have = voices.groupBy("engine").agg(ordered.alias("_all"))
-    named = jobs.join(F.broadcast(default_voices(jobs.sparkSession).withColumnRenamed("voice", "_default")), ["language", "gender"], "left").join(F.broadcast(have), "engine", "left")
+    named = jobs.join(F.broadcast(default_voices(jobs.sparkSession).withColumnRenamed("voice", "_default")), ["language", "gender"], "left").join(have, "engine", "left")
     ids = F.transform("_all", lambda v: v["id"])
     same = F.filter("_all", lambda v: v["gender"] == F.col("gender"))
     known = lambda c: F.when(F.array_contains(ids, c), c)
