@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._common import drop_stored, stored_at
 
 
-def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], reach: float, prepare: Callable[[DataFrame], None] | None = None, heads: int = 16) -> DataFrame:
+def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], reach: float, prepare: Callable[[DataFrame], None] | None = None, heads: int = 4) -> DataFrame:
     """Links (a, b) among the members (bucket, id) of each bucket that join what all its links would join.
 
     measure takes pairs (a, b) and gives (a, b, d, linked) where d is a metric and linked implies d <= reach.
@@ -19,7 +19,8 @@ def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], re
     yet, and leave it. Pairs whose distances to the centre differ by more than reach can't be linked and are
     not measured, and members that have only such pairs left leave at once. So a pair is measured, or joined
     by other links, or too far apart; a bucket that is one group is done after the first step, and no round
-    makes more rows than heads times members. prepare gets the ids of all members of buckets of two or
+    makes more rows than heads times members. At first the heads come from a bucket's largest group, which
+    stragglers of the group are soon linked to, and then from its smallest, which leave. prepare gets the ids of all members of buckets of two or
     more, before anything is measured.
     """
     spark = members.sparkSession
@@ -37,6 +38,7 @@ def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], re
     state = keyed.join(found, ["a", "b"]).select("bucket", "id", "d").join(components(links).toDF("id", "label"), "id", "left")
     state, state_at = stored_at(state.withColumn("label", F.coalesce("label", "id")), "star-state")
     drop_stored(spark, joined_at)
+    step = 0
     while True:
         labels = state
         groups = labels.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("low"), F.max("d").alias("high"))
@@ -50,7 +52,9 @@ def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], re
         drop_stored(spark, state_at)
         if active.isEmpty():
             return links.distinct()
-        chosen = active.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(heads)).alias("_slot")).agg(F.min(F.struct("size", "id", "label", "d")).alias("h"))
+        pick = F.max if step < 4 else F.min
+        step += 1
+        chosen = active.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(heads)).alias("_slot")).agg(pick(F.struct("size", F.xxhash64("id", F.lit(step)), "id", "label", "d")).alias("h"))
         chosen = stored_at(chosen.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("_label"), F.col("h.d").alias("_d")), "star-heads")[0]
         pairs = active.join(chosen, "bucket").where((F.col("label") != F.col("_label")) & (F.abs(F.col("d") - F.col("_d")) <= reach))
         new = measured(pairs).where("linked").select("a", "b")

@@ -32,7 +32,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def _powers_up_to(base: int, n: int) -> np.ndarray:
-    size = 1 << 21
+    size = 1 << 19
     while size < n:
         size *= 2
     return _powers(base, size)

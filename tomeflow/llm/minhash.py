@@ -108,7 +108,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch)
-        for at, some in text_runs(texts, 2 << 20):
+        for at, some in text_runs(texts, 1 << 19):
             digests = np.array([np.frombuffer(hashlib.md5(t.encode(), usedforsecurity=False).digest(), np.int64) for t in some])
             _, first, back = np.unique(digests, axis=0, return_index=True, return_inverse=True)
             words = Words([some[i] for i in first])
