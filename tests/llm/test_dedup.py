@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.llm import line_dedup, minhash, substring_dedup
-from tomeflow.llm._graph import components, star_links
+from tomeflow.llm._graph import bucket_links, components
 from tomeflow.llm._words import Words, shingles
 
 from .conftest import edge_rows, frame, words
@@ -37,21 +37,24 @@ def test_components_of_chains_and_stars(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_star_links_lose_nothing(spark, seed):
+def test_bucket_links_lose_nothing(spark, seed):
     """Points on a line, linked within a reach: the same groups as all pairs give."""
     r = random.Random(seed)
     at = [r.randint(0, 120) for _ in range(60)]
-    points = spark.createDataFrame(list(enumerate(at)), "id long, at long")
+    points = spark.createDataFrame(list(enumerate(at)), "id long, mark long")
+    asked = []
 
-    def measure(pairs):
+    def verify(pairs):
+        asked.extend((p.a, p.b) for p in pairs.collect())
         both = pairs.join(points.toDF("a", "x"), "a").join(points.toDF("b", "y"), "b")
-        d = F.abs(F.col("x") - F.col("y")).cast("double")
-        return both.select("a", "b", d.alias("d"), (d <= 2).alias("linked"))
+        return both.where(F.abs(F.col("x") - F.col("y")) <= 2).select("a", "b")
 
-    links = [(x.a, x.b) for x in star_links(points.select(F.lit(1).alias("bucket"), "id"), measure, 2.0).collect()]
+    near = F.abs(F.col("mark") - F.col("_mark")) <= 3
+    members = points.select(F.lit(1).alias("bucket"), "id", "mark")
+    links = [(x.a, x.b) for x in bucket_links(members, near, verify, lambda ids: None).collect()]
     assert all(abs(at[a] - at[b]) <= 2 for a, b in links)
     assert classes(60, links) == classes(60, [(a, b) for a, b in combinations(range(60), 2) if abs(at[a] - at[b]) <= 2])
-    assert len(links) < 60 * 59 / 4
+    assert all(abs(at[a] - at[b]) <= 3 for a, b in asked)
 
 
 def test_signatures_estimate_weighted_similarity():

@@ -4,65 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, stored_at
+from ._common import drop_stored, stored, stored_at
 
 
-def star_links(members: DataFrame, measure: Callable[[DataFrame], DataFrame], reach: float, prepare: Callable[[DataFrame], None] | None = None, heads: int = 4) -> DataFrame:
-    """Links (a, b) among the members (bucket, id) of each bucket that join what all its links would join.
+#: Heads of a bucket in the rounds of bucket_links; the last holds for all further rounds.
+HEADS = (1, 1, 2, 4, 64)
 
-    measure takes pairs (a, b) and gives (a, b, d, linked) where d is a metric and linked implies d <= reach.
-    First all members of a bucket are measured against one, its centre. Then, round after round, up to
-    `heads` members of a bucket are measured against those that no link found in any bucket joins to them
-    yet, and leave it. Pairs whose distances to the centre differ by more than reach can't be linked and are
-    not measured, and members that have only such pairs left leave at once. So a pair is measured, or joined
-    by other links, or too far apart; a bucket that is one group is done after the first step, and no round
-    makes more rows than heads times members. At first the heads come from a bucket's largest group, which
-    stragglers of the group are soon linked to, and then from its smallest, which leave. prepare gets the ids of all members of buckets of two or
-    more, before anything is measured.
-    """
-    spark = members.sparkSession
-    centres = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    joined, joined_at = stored_at(members.join(centres, "bucket").where("id <> head"), "star-members")
-    if prepare:
-        prepare(joined.select("id").unionByName(joined.select(F.col("head").alias("id"))).distinct())
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        return stored_at(measure(pairs.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()).dropDuplicates(["a", "b"]), "star-pairs")[0]
+def bucket_links(members: DataFrame, near: Column, verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None], marks: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the members (bucket, id, mark) of buckets that join what all their links would join.
 
-    found = measured(joined)
-    links = found.where("linked").select("a", "b")
-    keyed = joined.select("bucket", "id", F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
-    state = keyed.join(found, ["a", "b"]).select("bucket", "id", "d").join(components(links).toDF("id", "label"), "id", "left")
-    state, state_at = stored_at(state.withColumn("label", F.coalesce("label", "id")), "star-state")
-    drop_stored(spark, joined_at)
+    near says from mark and _mark alone whether two members may be linked, and runs inside the join, so that
+    only such pairs become rows; verify keeps the pairs (a, b) that are links. First each member of a bucket
+    is compared with one, its centre; buckets of two are done then. In each round after that some members of
+    a bucket, its heads, are compared with all that no link found in any bucket joins to them yet, and leave
+    it. At first the heads come from the bucket's largest group, which stragglers are soon linked to, then
+    from its smallest. A bucket is done when it is one group. So every near pair of a bucket is verified or
+    joined by other links. prepare gets the ids that may be verified. marks (id, mark) are joined to members
+    that share a bucket where members have none.
+    """
+    spark = members.sparkSession
+    centres = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = members.join(centres, "bucket")
+    shared = stored(shared if marks is None else shared.join(marks, "id"), "shared")
+    middle = shared.where("id = head").select("bucket", F.col("mark").alias("_mark"))
+    ordered = [F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")]
+    pairs = stored(shared.where("id <> head").join(middle, "bucket").where(near).select(*ordered).distinct(), "pairs")
+    state, state_at = stored_at(shared.where("n > 2 and id <> head").select("bucket", "id", "mark"), "state")
+    prepare(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(state.select("id")).distinct())
+    links = stored(verify(pairs), "links")
+    state = state.join(components(links).toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     step = 0
     while True:
-        labels = state
-        groups = labels.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("low"), F.max("d").alias("high"))
-        ends = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("low", "label")).alias("_low"), F.max(F.struct("high", "label")).alias("_high")).where("_k > 1").drop("_k")
-        others = groups.join(ends, "bucket").groupBy("bucket").agg(F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.min(F.when(F.col("label") != F.col("_low.label"), F.col("low"))).alias("_low2"), F.max(F.when(F.col("label") != F.col("_high.label"), F.col("high"))).alias("_high2"))
-        near = labels.join(groups.select("bucket", "label", "size"), ["bucket", "label"]).join(others, "bucket")
-        low = F.when(F.col("label") != F.col("_low.label"), F.col("_low.low")).otherwise(F.col("_low2"))
-        high = F.when(F.col("label") != F.col("_high.label"), F.col("_high.high")).otherwise(F.col("_high2"))
-        near = near.where((F.col("d") + reach >= low) & (F.col("d") - reach <= high)).select("bucket", "id", "d", "label", "size")
-        active, active_at = stored_at(near, "star-active")
+        apart = state.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("bucket")
+        active, active_at = stored_at(state.join(apart, "bucket"), "active")
         drop_stored(spark, state_at)
         if active.isEmpty():
-            return links.distinct()
-        pick = F.max if step < 4 else F.min
+            return links
+        slots, pick = HEADS[min(step, len(HEADS) - 1)], F.max if step < len(HEADS) - 1 else F.min
         step += 1
-        chosen = active.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(heads)).alias("_slot")).agg(pick(F.struct("size", F.xxhash64("id", F.lit(step)), "id", "label", "d")).alias("h"))
-        chosen = stored_at(chosen.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("_label"), F.col("h.d").alias("_d")), "star-heads")[0]
-        pairs = active.join(chosen, "bucket").where((F.col("label") != F.col("_label")) & (F.abs(F.col("d") - F.col("_d")) <= reach))
-        new = measured(pairs).where("linked").select("a", "b")
+        sizes = active.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+        ranked = active.select("bucket", "id", "label").join(sizes, ["bucket", "label"])
+        heads = ranked.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("_slot")).agg(pick(F.struct("size", F.xxhash64("id", F.lit(step)), "id")).alias("h")).select("bucket", F.col("h.id").alias("head"))
+        heads = stored(heads.join(active.select("bucket", F.col("id").alias("head"), F.col("mark").alias("_mark"), F.col("label").alias("_label")), ["bucket", "head"]), "heads")
+        met = active.join(heads, "bucket").where((F.col("label") != F.col("_label")) & near)
+        pairs = stored(met.groupBy(*ordered).agg(F.min(F.least("label", "_label")).alias("x"), F.max(F.greatest("label", "_label")).alias("y")), "pairs")
+        new = stored(verify(pairs.select("a", "b")), "links")
         links = links.unionByName(new)
-        named = pairs.groupBy(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).agg(F.min(F.least("label", "_label")).alias("_x"), F.max(F.greatest("label", "_label")).alias("_y"))
-        renamed = components(new.join(named, ["a", "b"]).select(F.col("_x").alias("a"), F.col("_y").alias("b"))).toDF("label", "_new")
-        left = active.join(chosen.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti").join(renamed, "label", "left")
-        state, state_at = stored_at(left.select("bucket", "id", "d", F.coalesce("_new", "label").alias("label")), "star-state")
+        renamed = components(new.join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("label", "_new")
+        left = active.join(heads.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti").join(renamed, "label", "left")
+        state, state_at = stored_at(left.select("bucket", "id", "mark", F.coalesce("_new", "label").alias("label")), "state")
         drop_stored(spark, active_at)
 
 

@@ -8,8 +8,9 @@ their weights, and a component's least point agrees with the probability of thei
 similarity. Points are drawn in rising order up to a bound that all components meet with high probability;
 texts with a component left empty are drawn again up to twice the bound.
 
-Signatures are banded; texts that share a band are compared by exact multiset overlap (see star_links), and
-linked texts form groups.
+Signatures are banded. Of texts that share a band, those whose signatures agree in at least `AGREE` of all
+components (the least number that is within four standard errors of the wanted similarity) are verified by
+exact multiset overlap (see bucket_links), and linked texts form groups.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, batch_of, stored, texts_of
-from ._graph import components, star_links
+from ._graph import bucket_links, components
 from ._words import Words, mixed, shingles, text_runs
 
 BANDS, ROWS = 24, 6
 WIDTH, SIMILARITY = 5, 0.8
+AGREE = math.floor(BANDS * ROWS * (SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS))))
 
 
 def multiset(hashes: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +102,27 @@ def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mixed(key + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
 
 
-SIGNED = "doc_id long, row long, high long, low long, n long, bands array<long>"
+def sketches(found: np.ndarray) -> np.ndarray:
+    """A byte of each component, eight to a signed 64-bit number."""
+    return np.ascontiguousarray(mixed(np.ascontiguousarray(found).view(np.uint64)).astype(np.uint8)).view(np.int64)
+
+
+def agreeing(numbers: int) -> Column:
+    """How many bytes of the arrays mark and _mark agree."""
+    differing = F.lit(0)
+    for k in range(numbers):
+        z = F.get("mark", F.lit(k)).bitwiseXOR(F.get("_mark", F.lit(k)))
+        for shift in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        differing = differing + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return 8 * numbers - differing
+
+
+SIGNED = "doc_id long, row long, high long, low long, n long, bands array<long>, mark array<long>"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), the text's digest in two halves, n shingles, and band keys."""
+    """doc_id, row (a hash of doc_id and text), the text's digest in two halves, n shingles, band keys and sketch."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch)
@@ -113,27 +131,29 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             _, first, back = np.unique(digests, axis=0, return_index=True, return_inverse=True)
             words = Words([some[i] for i in first])
             bags = [multiset(words.hashes[a:b]) for a, b in zip(words.edges, words.edges[1:])]
-            keys = band_keys(signatures(bags, bands * rows), bands)[back.reshape(-1)]
+            found = signatures(bags, bands * rows)
+            keys, marks = band_keys(found, bands)[back.reshape(-1)], sketches(found)[back.reshape(-1)]
             n = np.array([int(w.sum()) for _, w in bags])[back.reshape(-1)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield batch_of({"doc_id": batch.column(0).slice(at, len(some)), "row": batch.column(2).slice(at, len(some)), "high": digests[:, 0], "low": digests[:, 1], "n": n, "bands": lists}, {})
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (keys, marks)]
+            yield batch_of({"doc_id": batch.column(0).slice(at, len(some)), "row": batch.column(2).slice(at, len(some)), "high": digests[:, 0], "low": digests[:, 1], "n": n, "bands": lists[0], "mark": lists[1]}, {})
 
     return arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id", "text")), run, SIGNED)
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """d = 1 - overlap of the texts (id, text) of pairs (a, b)."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) overlap in at least similarity."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, distance, last, bag = batch.column(0).to_pylist(), [], None, None
-        for k, text_a, text_b in zip(a, batch.column(2), batch.column(3), strict=True):
-            if k != last:  # sorted by a: one head's pairs come together
+        good, last, bag = [], None, None
+        for k, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if k != last:
                 last, bag = k, multiset(Words([text_a.as_py() or ""]).hashes)
-            distance.append(1 - overlap(bag, multiset(Words([text_b.as_py() or ""]).hashes)))
-        yield batch_of({"a": batch.column(0), "b": batch.column(1), "d": distance, "linked": [d <= 1 - similarity + 1e-12 for d in distance]}, {"d": pa.float64(), "linked": pa.bool_()})
+            good.append(overlap(bag, multiset(Words([text_b.as_py() or ""]).hashes)) >= similarity - 1e-12)
+        chosen = pa.array(good, pa.bool_())
+        yield batch_of({"a": batch.column(0).filter(chosen), "b": batch.column(1).filter(chosen)}, {})
 
-    return arrow_map(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, d double, linked boolean")
+    return arrow_map(both.select("a", "b", "text_a", "text_b"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,7 +167,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     group has no other.
     """
     rows = stored(signed(docs), "signed", compression="zstd")
-    copies = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    copies = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
     nodes = stored(copies.withColumn("id", F.monotonically_increasing_id()), "texts", compression="zstd")
     members = nodes.where("n > 0").select("id", F.explode("bands").alias("bucket")).distinct()
     texts: list[DataFrame] = []
@@ -157,7 +177,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         firsts = named.join(rows.select("high", "low", "doc_id", "row"), ["high", "low"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.min("row").alias("row"))
         texts.append(stored(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(firsts, "row").select("id", "text"), "candidates"))
 
-    links = stored(star_links(members, lambda pairs: _measured(pairs, texts[0], similarity), 1 - similarity, prepare), "near-links")
+    near = agreeing(BANDS * ROWS // 8) >= AGREE
+    links = stored(bucket_links(members, near, lambda pairs: _verified(pairs, texts[0], similarity), prepare, nodes.select("id", "mark")), "near-links")
     groups = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("id", "high", "low", "first", "copies").join(groups.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
