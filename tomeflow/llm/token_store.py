@@ -58,10 +58,12 @@ class IdEncoder:
         suffix = spec["model"]["end_of_word_suffix"]
         self.by_word = bool(suffix) and {"type": "Lowercase"} in (spec["normalizer"] or {}).get("normalizers", [])
         self.special = [a["content"] for a in spec["added_tokens"]]
+        shared = set.intersection(*map(set, self.special)) if self.special else {""}
+        self._sign = min(shared or {""}, key=lambda c: (c.isalnum(), c))  # in every special string
         self._last = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self._last[i] = bool(suffix) and token.endswith(suffix)
-        self.table = WordTable(self._encode_new)
+        self.table = WordTable(self._encode_new, limit=900_000, chars=18_000_000)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,7 +78,7 @@ class IdEncoder:
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         lower = [t.lower() for t in texts]
-        odd = [i for i, t in enumerate(lower) if not self.by_word or BEYOND_LATIN.search(t) or any(x in t for x in self.special)]
+        odd = [i for i, t in enumerate(lower) if not self.by_word or not (t.isascii() or BEYOND_LATIN.search(t) is None) or (self._sign in t and any(x in t for x in self.special))]
         for i in odd:
             lower[i] = ""
         found = self.table.ids([self._WORDS.findall(t) for t in lower])
