@@ -162,6 +162,38 @@ def test_lines_against_brute_force(spark, sf_dir):
             groups[line_dedup.normal(line)].append((i, k))
 
 
+def test_fuzzy_lines_find_brute_force_pairs(spark, sf_dir):
+    """Of all pairs with the stated edit similarity, the later line goes; no line goes without such a pair or an equal line."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = [(r.doc_id, k, n) for r in sorted(docs.collect()) for k, x in enumerate((r.text or "").split("\n")) if len((n := line_dedup.normal(x)).split()) >= line_dedup.LEAST_WORDS]
+    first = {n: (i, k) for i, k, n in reversed(lines)}
+    distinct = sorted(first, key=len)
+    counts = np.array([[x.count(c) for c in "abcdefghijklmnopqrstuvwxyz "] for x in distinct])
+    sizes, pairs = np.array([len(x) for x in distinct]), []
+    for i, x in enumerate(distinct):
+        stop = np.searchsorted(sizes, sizes[i] / line_dedup.SIMILARITY + 1e-9, "right")
+        limits = ((1 - line_dedup.SIMILARITY) * sizes[i + 1 : stop] + 1e-9).astype(int)
+        apart = np.abs(counts[i + 1 : stop] - counts[i]).sum(axis=1)
+        pairs += [(x, distinct[i + 1 + k]) for k in np.flatnonzero(apart <= 2 * limits) if line_dedup.within(x, distinct[i + 1 + k], int(limits[k]))]
+    removed = {(r.doc_id, k) for r in line_dedup.repeated_lines(docs).collect() for k in r.removed}
+    assert len(pairs) >= 5 and np.mean([max(first[a], first[b]) in removed for a, b in pairs]) >= 0.95
+    near = {max(first[a], first[b]) for a, b in pairs} | {(i, k) for i, k, n in lines if first[n] != (i, k)}
+    assert removed <= near | {first[x] for p in pairs for x in p}
+
+
+def test_fuzzy_lines_find_small_edits(spark):
+    """Lines of three to forty words with one letter changed or one word of twelve or more replaced."""
+    r, rows = random.Random(5), []
+    for seed in range(400):
+        parts = words(seed + 1000, 3 + seed % 38, (4, 9))
+        line, k = " ".join(parts), r.randrange(len(parts))
+        other = "q" + parts[k][1:] if seed % 2 or len(parts) < 12 else "changed"
+        rows += [(2 * seed, line), (2 * seed + 1, " ".join(parts[:k] + [other] + parts[k + 1 :]))]
+    found = {x.doc_id: x.removed for x in line_dedup.repeated_lines(frame(spark, rows)).collect()}
+    assert all(found[2 * i] == [] for i in range(400))
+    assert sum(found[2 * i + 1] == [0] for i in range(400)) >= 392
+
+
 def test_lines_on_edges(edges, empty):
     found = line_dedup.repeated_lines(edges).collect()
     assert len(found) == len(edge_rows())
