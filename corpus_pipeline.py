@@ -20,7 +20,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier one exactly or nearly."""
-    return line_dedup.without_repeated_lines(docs)
+    return line_dedup.without_repeated_lines(docs, least_words=1)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import lines_once
 from tomeflow.llm import line_dedup, minhash, substring_dedup
 from tomeflow.llm._graph import bucket_links, components
 from tomeflow.llm._words import Words, shingles
+from tomeflow.llm.queries import op9_line_dedup
 
 from .conftest import edge_rows, frame, words
 
@@ -194,6 +196,17 @@ def test_fuzzy_lines_find_small_edits(spark):
     assert sum(found[2 * i + 1] == [0] for i in range(400)) >= 392
 
 
+def test_short_lines_go_in_query_and_stage(spark, tmp_path):
+    """Lines of one or two words, and long ones that are one word for want of spaces, are compared too."""
+    long = "这是一行没有空格的很长的中文文字用来检查去重"
+    rows = [(1, "Yes.\nand ornd\n...\n" + long), (2, "yes\nAnd, ornd!\n...\nown line of two"), (3, long + "\n" + long.replace("检查", "检看") + "\nno\nNO")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_lines, r.removed) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: (3, []), 2: (3, [0, 1]), 3: (4, [0, 1, 3])}
+    left = {r.doc_id: r.text for r in lines_once(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "...\nown line of two", 3: "no"}
+
+
 def test_lines_on_edges(edges, empty):
     found = line_dedup.repeated_lines(edges).collect()
     assert len(found) == len(edge_rows())

@@ -51,7 +51,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("row")
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least_words=1).drop("row")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
