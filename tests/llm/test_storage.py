@@ -92,3 +92,11 @@ def test_damaged_media_say_so(spark):
     df = spark.createDataFrame([(1, 2, good[:-9]), (2, 2, None), (3, 2, b""), (4, 2, good)], "doc_id long, n_bytes long, media binary")
     found = {r.doc_id: r.problem for r in media.probe_column(df).collect()}
     assert found[4] is None and all(found[k] for k in (1, 2, 3))
+
+
+def test_tracks_without_sample_sizes_are_a_problem():
+    good = media.write_container(media.padded(b"hi"))
+    with pytest.raises(ValueError, match="stsz"):
+        media.probe(good.replace(b"stsz", b"stz2"))
+    with pytest.raises(ValueError, match="fragments"):
+        media.probe(good + media.box(b"moof", b""))

@@ -124,17 +124,21 @@ def _entries(data: bytes, at: int, end: int, layout: str) -> list[tuple]:
 
 
 def probe(data: bytes) -> list[Track]:
-    """The tracks of a file; ValueError if its boxes or tables are damaged."""
+    """The tracks of a file; ValueError if its boxes or tables are damaged or don't give the sizes of samples."""
     tracks: list[Track] = []
     tables: dict[bytes, tuple[int, int]] = {}
 
     def close() -> None:
-        if tracks and b"stsz" in tables:
+        if tracks and b"stsz" not in tables:
+            raise ValueError("a track has no stsz, so its samples are not found")
+        if tracks:
             _resolve(data, tracks[-1], tables)
         tables.clear()
 
     for path, at, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            raise ValueError("samples in fragments are not read")
         if path == (b"moov", b"trak"):
             close()
             tracks.append(Track())
