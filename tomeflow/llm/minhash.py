@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shingle. Texts without any word have no links: only equal ones (null counts as empty) form a group.
     keep is true for the rows of the group's least doc_id and, of several texts with that doc_id, the least
     digest; rows that repeat doc_id and text are kept or not together. A null doc_id counts only where a
-    group has no other.
+    group has no other. n_links counts the links that were found while joining the group, not all pairs that
+    are similar: members that other links had joined already are not compared (see bucket_links).
     """
     rows = stored(signed(docs), "signed", compression="zstd")
     copies = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
