@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,38 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Shelf:
+    """Stored tables that only the block of a with statement needs; they are deleted when it ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._at = spark, {}
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop(*list(self._at))
+
+    def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df, self._at[name] = stored_at(df, name, **options)
+        return df
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_stored(self._spark, self._at.pop(name))
+
+
+def text_digest(text: str | Column = "text") -> Column:
+    """The md5 of a text, 16 bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns called c0, c1 ..., so that no helper column can clash with one, and the way back."""
+    names = docs.columns
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), lambda df: df.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names)))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -57,6 +90,26 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by keys, in tables that no group of equal keys (numbers) crosses the edge of."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(batch[k][0] != held[-1][k][-1] for k in keys):
+            edges = np.concatenate([[0], edges])
+        if len(edges):
+            held.append(batch.slice(0, edges[-1]))
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(edges[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

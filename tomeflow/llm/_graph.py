@@ -1,86 +1,170 @@
-"""Links between near duplicates and the groups they form, without all pairs of a bucket and without the driver."""
+"""Links between near duplicates and the groups they form, without all pairs of a bucket in one task and without the driver.
+
+Members of a bucket are dealt to blocks of bounded size. A unit is a block, or two blocks whose members are compared
+with each other; its texts are shipped to one task, which keeps a union-find of the unit's members and compares only
+those that nothing joins yet. So rows shipped grow with the members of a bucket (and with the square of the number
+of its blocks only where blocks hold members of different groups), pairs never become rows, and what leaves a unit is
+a spanning forest of its links.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, stored, stored_at
+from ._common import Shelf, batch_of, stored, whole_groups
+
+#: About the members of a block and the sum of their weights.
+MEMBERS, WEIGHT = 512, 1 << 20
+#: Links that one task of components() holds.
+LINKS = 1_000_000
+
+#: Given the texts of a unit, a function that yields those of the members js that are linked to member i; it may skip
+#: any j whose label has become i's.
+Partners = Callable[[list[str]], Callable[[int, np.ndarray, np.ndarray], Iterator[int]]]
+
+
+def spanning(label: np.ndarray, side: np.ndarray, partners: Callable[[int, np.ndarray, np.ndarray], Iterator[int]]) -> list[tuple[int, int]]:
+    """Links that join what all links between members would, given the labels of members that are joined already.
+
+    Members of sides 0 and 1 are compared across only, those of side 2 with all.
+    """
+    label, found = label.copy(), []
+    for i in range(len(label) - 1):
+        other = label[i + 1 :] != label[i]
+        if side[i] < 2:
+            other &= side[i + 1 :] != side[i]
+        js = np.flatnonzero(other) + i + 1
+        if len(js):
+            for j in partners(i, js, label):
+                if label[j] != label[i]:
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+    return found
+
+
+def _unit_links(rows: DataFrame, partners: Partners) -> DataFrame:
+    """Links (a, b) inside the units of rows (unit, id, label, side, text)."""
+
+    def one(part: pa.Table) -> list[tuple[int, int]]:
+        ids = part.column("id").to_numpy()
+        label = np.unique(part.column("label").to_numpy(), return_inverse=True)[1]
+        texts = [t or "" for t in part.column("text").to_pylist()]
+        return [(int(ids[i]), int(ids[j])) for i, j in spanning(label, part.column("side").to_numpy(), partners(texts))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, ["unit"]):
+            unit = part.column("unit").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+            links = [x for a, b in zip(edges, edges[1:]) for x in one(part.slice(a, b - a))]
+            yield batch_of({"a": [a for a, _ in links], "b": [b for _, b in links]}, {"a": pa.int64(), "b": pa.int64()})
+
+    together = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
+    return together.select("unit", "id", "label", "side", "text").mapInArrow(run, "a long, b long")
 
 
-#: Heads of a bucket in the rounds of bucket_links; the last holds for all further rounds.
-HEADS = (1, 1, 2, 4, 64)
+def _blocks(n: Column, weight: Column, most: int) -> Column:
+    return F.greatest(F.ceil(n / most), F.ceil(weight / WEIGHT), F.lit(1))
 
 
-def bucket_links(members: DataFrame, near: Column, verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None], marks: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among the members (bucket, id, mark) of buckets that join what all their links would join.
+def _across(shelf: Shelf, wide: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """(unit, id, label, side) of the pairs of blocks in which members of wide (bucket, id, weight) with different
+    labels meet.
 
-    near says from mark and _mark alone whether two members may be linked, and runs inside the join, so that
-    only such pairs become rows; verify keeps the pairs (a, b) that are links. First each member of a bucket
-    is compared with one, its centre; buckets of two are done then. In each round after that some members of
-    a bucket, its heads, are compared with all that no link found in any bucket joins to them yet, and leave
-    it. At first the heads come from the bucket's largest group, which stragglers are soon linked to, then
-    from its smallest. A bucket is done when it is one group. So every near pair of a bucket is verified or
-    joined by other links. prepare gets the ids that may be verified. marks (id, mark) are joined to members
-    that share a bucket where members have none.
+    The members of a bucket's largest group are its crowd, all others stand apart. Blocks of the crowd meet blocks
+    of those apart, and these meet each other and themselves; blocks of the crowd need not meet.
     """
-    spark = members.sparkSession
-    centres = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = members.join(centres, "bucket")
-    shared = stored(shared if marks is None else shared.join(marks, "id"), "shared")
-    middle = shared.where("id = head").select("bucket", F.col("mark").alias("_mark"))
-    ordered = [F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")]
-    pairs = stored(shared.where("id <> head").join(middle, "bucket").where(near).select(*ordered).distinct(), "pairs")
-    state, state_at = stored_at(shared.where("n > 2 and id <> head").select("bucket", "id", "mark"), "state")
-    prepare(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(state.select("id")).distinct())
-    links = stored(verify(pairs), "links")
-    state = state.join(components(links).toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    step = 0
-    while True:
-        apart = state.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("bucket")
-        active, active_at = stored_at(state.join(apart, "bucket"), "active")
-        drop_stored(spark, state_at)
-        if active.isEmpty():
-            return links
-        slots, pick = HEADS[min(step, len(HEADS) - 1)], F.max if step < len(HEADS) - 1 else F.min
-        step += 1
-        sizes = active.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-        ranked = active.select("bucket", "id", "label").join(sizes, ["bucket", "label"])
-        heads = ranked.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("_slot")).agg(pick(F.struct("size", F.xxhash64("id", F.lit(step)), "id")).alias("h")).select("bucket", F.col("h.id").alias("head"))
-        heads = stored(heads.join(active.select("bucket", F.col("id").alias("head"), F.col("mark").alias("_mark"), F.col("label").alias("_label")), ["bucket", "head"]), "heads")
-        met = active.join(heads, "bucket").where((F.col("label") != F.col("_label")) & near)
-        pairs = stored(met.groupBy(*ordered).agg(F.min(F.least("label", "_label")).alias("x"), F.max(F.greatest("label", "_label")).alias("y")), "pairs")
-        new = stored(verify(pairs.select("a", "b")), "links")
-        links = links.unionByName(new)
-        renamed = components(new.join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("label", "_new")
-        left = active.join(heads.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti").join(renamed, "label", "left")
-        state, state_at = stored_at(left.select("bucket", "id", "mark", F.coalesce("_new", "label").alias("label")), "state")
-        drop_stored(spark, active_at)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): the least node that it is joined to.
-
-    Alternates large-star and small-star steps until every node points at its root. Each step is two joins
-    on the node; its links are written to the shared folder, so lineage and memory stay bounded.
+    named = wide.join(groups.toDF("id", "root"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+    by_label = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    tops = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    plan = tops.select("bucket", F.col("top.label").alias("crowd"), _blocks(F.col("top.n"), F.col("top.w"), most).alias("kc"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), most).alias("ka"))
+    placed = named.join(shelf.put(plan, "plan"), "bucket").withColumn("out", F.col("label") != F.col("crowd"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("across"), "id"), F.when(F.col("out"), F.col("ka")).otherwise(F.col("kc"))))
+    meetings = F.expr("""CASE WHEN out THEN concat(
+      transform(sequence(0L, kc - 1), c -> struct(c * ka + block AS u, 1 AS side)),
+      transform(sequence(0L, ka - 1), j -> struct((kc + least(j, block)) * ka + greatest(j, block) AS u, CASE WHEN j = block THEN 2 WHEN block < j THEN 0 ELSE 1 END AS side)))
+    ELSE transform(sequence(0L, ka - 1), j -> struct(block * ka + j AS u, 0 AS side)) END""")
+    met = placed.select("bucket", "id", "label", F.explode(meetings).alias("m"))
+    return met.select(F.xxhash64("bucket", "m.u").alias("unit"), "id", "label", "m.side")
+
+
+def bucket_groups(members: DataFrame, payload: Callable[[DataFrame], DataFrame], partners: Partners, most: int = MEMBERS) -> DataFrame:
+    """(node, root) of the members (bucket, id, weight) of buckets that links between members of one bucket join.
+
+    payload gives (id, text), once for each of the wanted ids that share a bucket. First each block is compared
+    within itself; equal sets of members that meet in several buckets are one unit. Then buckets of several blocks
+    that are not one group yet have their blocks compared with each other (see _across). So each pair of a bucket
+    is compared or joined by other links, whatever the size of the bucket.
+    """
+    with Shelf(members.sparkSession) as shelf:
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n > 1")
+        sizes = shelf.put(sizes.select("bucket", _blocks(F.col("n"), F.col("w"), most).alias("blocks")), "sizes")
+        shared = shelf.put(members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "shared", compression="zstd")
+        texts = shelf.put(payload(shared.select("id").distinct()), "texts", compression="zstd")
+        sets = shared.repartition("bucket", "block").groupBy("bucket", "block").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+        units = shelf.put(sets.select("ids").distinct().withColumn("unit", F.monotonically_increasing_id()), "units", compression="zstd")
+        alone = units.select("unit", F.explode("ids").alias("id")).join(texts, "id")
+        links = shelf.put(_unit_links(alone.select("unit", "id", F.col("id").alias("label"), F.lit(2).alias("side"), "text"), partners), "links")
+        groups = components(links)
+        wide = shared.where("blocks > 1").select("bucket", "id", "weight")
+        if not wide.isEmpty():
+            more = shelf.put(_unit_links(_across(shelf, wide, groups, most).join(texts, "id"), partners), "more")
+            groups = components(links.unionByName(more))
+        return groups
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """For each task's links: (a, b) from each node to the least one that the task's links join it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+        if not parts:
+            return
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root, (a, b) = np.arange(len(nodes)), at.reshape(2, -1)
+        while True:  # hook the greater root to the lesser, then point all nodes at their roots
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield batch_of({"a": nodes[moved], "b": nodes[root[moved]]}, {})
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, each: int = LINKS) -> DataFrame:
+    """(node, root) for every node of links (a, b) that is joined to a lesser one: the least node that it is joined to.
+
+    Each task contracts about `each` links to stars. Where there are more, large-star and small-star steps join the
+    stars of different tasks, until every node points at its root. What a step makes is written to the shared
+    folder, so lineage and memory stay bounded; the step before is deleted.
     """
-    spark = links.sparkSession
-    found, path = stored_at(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-        both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large, large_at = stored_at(large.distinct(), "links")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        following = stored_at(small.where("a <> b").distinct(), "links")
-        drop_stored(spark, path)
-        drop_stored(spark, large_at)
-        found, path = following
+    with Shelf(links.sparkSession) as shelf:
+        found = shelf.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        before, turn, last = None, 0, "links"
+        while True:
+            n = found.count()
+            tasks = max(1, -(-n // each))
+            found = shelf.put(_contracted(found.coalesce(tasks)), f"stars{turn}")
+            shelf.drop(last)
+            last = f"stars{turn}"
+            now = None if tasks == 1 else found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tasks == 1 or now == before:
+                return stored(found.select(F.col("a").alias("node"), F.col("b").alias("root")), "groups")
+            before = now
+            both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = shelf.put(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+            found = shelf.put(small.where("a <> b").distinct(), f"small{turn}")
+            shelf.drop(last, "large")
+            last, turn = f"small{turn}", turn + 1

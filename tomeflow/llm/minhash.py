@@ -8,29 +8,27 @@ their weights, and a component's least point agrees with the probability of thei
 similarity. Points are drawn in rising order up to a bound that all components meet with high probability;
 texts with a component left empty are drawn again up to twice the bound.
 
-Signatures are banded. Of texts that share a band, those whose signatures agree in at least `AGREE` of all
-components (the least number that is within four standard errors of the wanted similarity) are verified by
-exact multiset overlap (see bucket_links), and linked texts form groups.
+Signatures are banded. Texts that share a band are verified by exact multiset overlap (see bucket_groups), and
+linked texts form groups.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, stored, texts_of
-from ._graph import bucket_links, components
+from ._common import Shelf, arrow_map, batch_of, renamed, stored, text_digest, texts_of
+from ._graph import bucket_groups
 from ._words import Words, mixed, shingles, text_runs
 
 BANDS, ROWS = 24, 6
 WIDTH, SIMILARITY = 5, 0.8
-AGREE = math.floor(BANDS * ROWS * (SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS))))
 
 
 def multiset(hashes: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -102,97 +100,109 @@ def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mixed(key + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
 
 
-def sketches(found: np.ndarray) -> np.ndarray:
-    """A byte of each component, eight to a signed 64-bit number."""
-    return np.ascontiguousarray(mixed(np.ascontiguousarray(found).view(np.uint64)).astype(np.uint8)).view(np.int64)
+def partners_of(similarity: float) -> Callable[[list[str]], Callable[[int, np.ndarray, np.ndarray], Iterator[int]]]:
+    """For bucket_groups: texts are linked whose multisets of shingles overlap in at least similarity."""
 
+    def of(texts: list[str]) -> Callable[[int, np.ndarray, np.ndarray], Iterator[int]]:
+        words = Words(texts)
+        bags = [multiset(words.hashes[a:b]) for a, b in zip(words.edges, words.edges[1:])]
+        if len(texts) == 2:
+            return lambda i, js, label: iter(js if overlap(*bags) >= similarity - 1e-12 else ())
+        sizes = np.array([len(h) for h, _ in bags])
+        begins = np.cumsum(sizes) - sizes
+        distinct, column = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)
+        weight, own = np.concatenate([w for _, w in bags]), np.zeros(len(distinct), np.int64)
+        total = np.add.reduceat(weight, begins)
 
-def agreeing(numbers: int) -> Column:
-    """How many bytes of the arrays mark and _mark agree."""
-    differing = F.lit(0)
-    for k in range(numbers):
-        z = F.get("mark", F.lit(k)).bitwiseXOR(F.get("_mark", F.lit(k)))
-        for shift in (4, 2, 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
-        differing = differing + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-    return 8 * numbers - differing
+        def partners(i: int, js: np.ndarray, label: np.ndarray) -> Iterator[int]:
+            js = js[np.minimum(total[js], total[i]) >= (similarity - 1e-12) * np.maximum(total[js], total[i])]
+            if len(js):
+                mine = slice(begins[i], begins[i] + sizes[i])
+                own[column[mine]] = weight[mine]
+                ends = np.cumsum(sizes[js])
+                at = np.arange(ends[-1]) + np.repeat(begins[js] - ends + sizes[js], sizes[js])
+                shared = np.add.reduceat(np.minimum(own[column[at]], weight[at]), ends - sizes[js])
+                own[column[mine]] = 0
+                yield from js[shared / (total[js] + total[i] - shared) >= similarity - 1e-12].tolist()
 
+        return partners
 
-SIGNED = "doc_id long, row long, high long, low long, n long, bands array<long>, mark array<long>"
+    return of
+
+
+SIGNED = "doc_id long, digest binary, n long, bands array<long>"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), the text's digest in two halves, n shingles, band keys and sketch."""
+    """doc_id, digest (md5 of the text), n shingles and band keys of every row of docs."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch)
         for at, some in text_runs(texts, 1 << 19):
-            digests = np.array([np.frombuffer(hashlib.md5(t.encode(), usedforsecurity=False).digest(), np.int64) for t in some])
-            _, first, back = np.unique(digests, axis=0, return_index=True, return_inverse=True)
+            digests = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in some]
+            place = {d: k for k, d in enumerate(dict.fromkeys(digests))}
+            back = np.array([place[d] for d in digests])
+            first = np.unique(back, return_index=True)[1]
             words = Words([some[i] for i in first])
             bags = [multiset(words.hashes[a:b]) for a, b in zip(words.edges, words.edges[1:])]
-            found = signatures(bags, bands * rows)
-            keys, marks = band_keys(found, bands)[back.reshape(-1)], sketches(found)[back.reshape(-1)]
-            n = np.array([int(w.sum()) for _, w in bags])[back.reshape(-1)]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (keys, marks)]
-            yield batch_of({"doc_id": batch.column(0).slice(at, len(some)), "row": batch.column(2).slice(at, len(some)), "high": digests[:, 0], "low": digests[:, 1], "n": n, "bands": lists[0], "mark": lists[1]}, {})
-
-    return arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id", "text")), run, SIGNED)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) overlap in at least similarity."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        good, last, bag = [], None, None
-        for k, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if k != last:
-                last, bag = k, multiset(Words([text_a.as_py() or ""]).hashes)
-            good.append(overlap(bag, multiset(Words([text_b.as_py() or ""]).hashes)) >= similarity - 1e-12)
-        chosen = pa.array(good, pa.bool_())
-        yield batch_of({"a": batch.column(0).filter(chosen), "b": batch.column(1).filter(chosen)}, {})
-
-    return arrow_map(both.select("a", "b", "text_a", "text_b"), run, "a long, b long").distinct()
+            keys = band_keys(signatures(bags, bands * rows), bands)[back]
+            n = np.array([int(w.sum()) for _, w in bags])[back]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
+            yield batch_of({"doc_id": batch.column(0).slice(at, len(some)), "digest": digests, "n": n, "bands": lists}, {"digest": pa.binary()})
+
+    return arrow_map(docs.select("doc_id", "text"), run, SIGNED)
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row of docs, and (digest, class_id, class_rows, best) of every text."""
+    with Shelf(docs.sparkSession) as shelf:
+        all_rows = shelf.put(signed(docs), "signed", compression="zstd")
+        rows = stored(all_rows.select("doc_id", "digest"), "rows", compression="zstd")
+        copies = all_rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        nodes = shelf.put(copies.withColumn("id", F.monotonically_increasing_id()), "nodes", compression="zstd")
+        shelf.drop("signed")
+
+        def payload(wanted: DataFrame) -> DataFrame:
+            named = wanted.join(nodes.select("id", "digest", "first"), "id")
+            texts = docs.select("doc_id", "text", text_digest().alias("digest")).join(named.withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("_digest")))
+            return texts.groupBy("id").agg(F.max("text").alias("text"))
+
+        members = nodes.where("n > 0").select("id", (6 * F.col("n")).alias("weight"), F.explode("bands").alias("bucket"))
+        groups = bucket_groups(members, payload, partners_of(similarity))
+        placed = nodes.select("id", "digest", "first", "copies").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = shelf.put(placed, "placed", compression="zstd")
+        best = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("best"), F.sum("copies").alias("class_rows"))
+        best = shelf.put(best.select("root", F.col("best.first").alias("class_id"), F.col("best.digest").alias("best"), "class_rows"), "best")
+        classes = placed.join(best, "root").select("digest", "class_id", "class_rows", (F.col("digest") == F.col("best")).alias("best"))
+        return rows, stored(classes, "classes", compression="zstd")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, row, class_id (the least doc_id of the group), class_rows, n_links and keep for every row of docs.
+    """doc_id, digest (md5 of the text), class_id (the least doc_id of the group), class_rows and keep for every row of docs.
 
     A group holds texts joined by links of at least `similarity` weighted Jaccard over five-word shingles,
     with all their copies. Words are lower-cased and without marks; a text of one to four words is one
     shingle. Texts without any word have no links: only equal ones (null counts as empty) form a group.
-    keep is true for the rows of the group's least doc_id and, of several texts with that doc_id, the least
-    digest; rows that repeat doc_id and text are kept or not together. A null doc_id counts only where a
-    group has no other. n_links counts the links that were found while joining the group, not all pairs that
-    are similar: members that other links had joined already are not compared (see bucket_links).
+    Texts of any length are compared whole. keep is true for the rows of the group's least doc_id and, of
+    several texts with that doc_id, the least digest; rows that repeat doc_id and text are kept or not
+    together. A null doc_id counts only where a group has no other. An empty table gives no rows; other
+    columns are not read and may have any name.
     """
-    rows = stored(signed(docs), "signed", compression="zstd")
-    copies = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
-    nodes = stored(copies.withColumn("id", F.monotonically_increasing_id()), "texts", compression="zstd")
-    members = nodes.where("n > 0").select("id", F.explode("bands").alias("bucket")).distinct()
-    texts: list[DataFrame] = []
-
-    def prepare(wanted: DataFrame) -> None:
-        named = wanted.join(nodes.select("id", "high", "low", "first"), "id")
-        firsts = named.join(rows.select("high", "low", "doc_id", "row"), ["high", "low"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.min("row").alias("row"))
-        texts.append(stored(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(firsts, "row").select("id", "text"), "candidates"))
-
-    near = agreeing(BANDS * ROWS // 8) >= AGREE
-    links = stored(bucket_links(members, near, lambda pairs: _verified(pairs, texts[0], similarity), prepare, nodes.select("id", "mark")), "near-links")
-    groups = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = nodes.select("id", "high", "low", "first", "copies").join(groups.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    placed = stored(placed.withColumn("root", F.coalesce("root", "id")).withColumn("n_links", F.coalesce("n_links", F.lit(0))), "placed")
-    least = placed.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_rows"))
-    chosen = placed.join(least, "root").where(F.col("first").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("id").alias("chosen"))
-    classes = placed.join(least, "root").join(chosen, "root").select("high", "low", "class_id", "class_rows", "n_links", (F.col("id") == F.col("chosen")).alias("_best"))
-    return rows.select("doc_id", "row", "high", "low").join(classes, ["high", "low"]).select("doc_id", "row", "class_id", "class_rows", "n_links", (F.col("_best") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keep"))
+    rows, classes = _classes(docs, similarity)
+    return rows.join(classes, "digest").select("doc_id", "digest", "class_id", "class_rows", (F.col("best") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keep"))
 
 
 def first_of_each_group(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each group of near duplicates, with the columns of docs."""
-    kept = near_duplicates(docs, similarity).where("keep").groupBy("row").agg(F.count(F.lit(1)).alias("_times")).withColumnRenamed("row", "_row")
-    found = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept, "_row")
-    once = found.where("_times = 1").select(*docs.columns)
-    return once.unionByName(found.where("_times > 1").dropDuplicates(["_row"]).select(*docs.columns))
+    """One row of docs for each group of near duplicates (see near_duplicates), with the columns of docs as they are.
+
+    It is a row that near_duplicates keeps; of several that repeat doc_id and text, the one whose columns have
+    the least hash. Null and empty texts are equal, so one row of them all stays. Columns may have any name and
+    type but map; an empty table gives no rows.
+    """
+    kept = stored(near_duplicates(docs, similarity).where("keep").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times")), "kept")
+    plain, back = renamed(docs)
+    own = [plain[f"c{docs.columns.index(x)}"] for x in ("doc_id", "text")]
+    found = plain.withColumn("own", text_digest(own[1])).join(kept, own[0].eqNullSafe(kept["doc_id"]) & (F.col("own") == kept["digest"]))
+    once = found.where("times = 1").select(*plain.columns)
+    several = found.where("times > 1").groupBy("doc_id", "digest").agg(F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("row")).select("row.*")
+    return back(once.unionByName(several))

@@ -22,7 +22,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op7_unit_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("row_hash")
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least_words=1).drop("row")
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
