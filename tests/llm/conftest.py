@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, digest string, shard int, start long, bands string, _row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, digest string, shard int, start long, bands string, _row int, _removed string, _times int, own string, removed int, parts int, c0 double, c1 array<int>"
 
 
 def words(seed, n, sizes=(2, 9)):
@@ -21,7 +21,7 @@ def edge_rows():
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", None if i is None else f"s{i % 3}", None if t is None else len(t), 7, "x", 3, 1, "b", 9) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", None if i is None else f"s{i % 3}", None if t is None else len(t), 7, "x", 3, 1, "b", k, f"r{k}", 2, None, k + 1, 5, k / 2, [k]) for k, (i, t) in enumerate(rows)], SCHEMA)
 
 
 @pytest.fixture(scope="session")
@@ -39,3 +39,10 @@ def tokenizer():
     import public_tokenizers
 
     return public_tokenizers.path
+
+
+def same_but(found, rows, *changed):
+    """Whether all columns of found but the changed ones, found by _row, are those of frame(rows), types included."""
+    was = {r._row: r for r in rows.collect()}
+    names = [c for c in rows.columns if c not in changed]
+    return found.schema == rows.schema and all(getattr(r, c) == getattr(was[r._row], c) for r in found.collect() for c in names)

@@ -1,6 +1,8 @@
 """Near duplicates, repeated units and lines, and the graph steps under them, against brute force."""
 
+import hashlib
 import random
+import re
 from collections import defaultdict
 from itertools import combinations
 
@@ -9,12 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import lines_once
-from tomeflow.llm import line_dedup, minhash, substring_dedup
+from tomeflow.llm import _graph, line_dedup, minhash, substring_dedup
 from tomeflow.llm._graph import bucket_groups, components
 from tomeflow.llm._words import Words, shingles
 from tomeflow.llm.queries import op9_line_dedup
 
-from .conftest import edge_rows, frame, words
+from .conftest import edge_rows, frame, same_but, words
 
 
 def classes(n, links):
@@ -39,18 +41,19 @@ def test_components_of_chains_and_stars(spark, each):
     assert components(spark.createDataFrame([], "a long, b long"), each).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 8), (2, 20), (3, 1_000)])
-def test_bucket_groups_lose_nothing(spark, seed, most):
+@pytest.mark.parametrize(("seed", "most", "crowd"), [(1, 8, 100_000), (2, 20, 0), (3, 1_000, 100_000)])
+def test_bucket_groups_lose_nothing(spark, seed, most, crowd, monkeypatch):
     """Points in three buckets, linked within a reach: the same groups as all pairs of a bucket give, in one block or many."""
+    monkeypatch.setattr(_graph, "CROWD", crowd)
     r = random.Random(seed)
     at, bucket = [r.randint(0, 150) for _ in range(90)], [r.randint(1, 3) for _ in range(90)]
-    bucket[-1], compared = 4, []
-    points = spark.createDataFrame([(i, str(x)) for i, x in enumerate(at)], "id long, text string")
+    bucket[-1] = 4
+    points = spark.createDataFrame([(i, str(x), [b, *([5] if i < 6 else [])]) for i, (x, b) in enumerate(zip(at, bucket))], "id long, text string, keys array<long>")
 
     def partners(texts):
         return lambda i, js, label: (int(j) for j in js if label[j] != label[i] and abs(int(texts[i]) - int(texts[j])) <= 2)
 
-    members = spark.createDataFrame([(b, i, 1) for i, b in enumerate(bucket)] + [(5, i, 1) for i in range(6)], "bucket long, id long, weight int")
+    members = spark.createDataFrame([(b, i) for i, b in enumerate(bucket)] + [(5, i) for i in range(6)], "bucket long, id long")
     found = {x.node: x.root for x in bucket_groups(members, lambda ids: points.join(ids, "id"), partners, most).collect()}
     links = [(a, b) for a, b in combinations(range(90), 2) if abs(at[a] - at[b]) <= 2 and (bucket[a] == bucket[b] or b < 6)]
     assert [found.get(i, i) for i in range(90)] == classes(90, links)
@@ -99,7 +102,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in found} == {rows[i][0]: rows[c][0] for i, c in enumerate(want)}
     assert sum(r.keep for r in found) == len(set(want))
     kept = minhash.first_of_each_group(frame(spark, rows))
-    assert kept.columns == frame(spark, []).columns and kept.count() == len(set(want))
+    assert same_but(kept, frame(spark, rows)) and kept.count() == len(set(want))
 
 
 def test_near_duplicates_on_edges(edges, empty):
@@ -111,6 +114,22 @@ def test_near_duplicates_on_edges(edges, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.first_of_each_group(empty).count() == 0
 
 
+def test_kept_document_does_not_depend_on_partitions(spark):
+    """Near copies under one doc_id, and rows that repeat doc_id and text with other columns."""
+    base = words(61, 80)
+    rows = [(5, " ".join(base[:k] + ["edit"] + base[k + 1 :])) for k in range(8)] * 2 + [(None, " ".join(base)), (9, " ".join(base))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = []
+        for n in (1, 4, 7, 13):
+            docs = frame(spark, rows).repartition(n)
+            found.append(([r._row for r in minhash.first_of_each_group(docs).collect()], {(r.class_id, bytes(r.digest)) for r in minhash.near_duplicates(docs).collect() if r.keep}))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    least = min(hashlib.md5(t.encode()).digest() for i, t in rows if i == 5)
+    assert all(x == found[0] for x in found) and len(found[0][0]) == 1 and found[0][1] == {(5, least)}
+
+
 def test_repeated_passage_inside_lines_is_found(spark):
     passage = " ".join(words(77, 55))
     rows = [(1, "Alpha beta. " + " ".join(words(5, 30)) + " " + passage + " " + " ".join(words(6, 20))), (2, " ".join(words(8, 33)) + "\n" + " ".join(words(9, 9)) + " " + passage + " ende"), (3, " ".join(words(10, 90))), (4, "ünï " + passage.upper())]
@@ -122,10 +141,56 @@ def test_repeated_passage_inside_lines_is_found(spark):
     assert out[1] == rows[0][1] and out[3] == rows[2][1] and len(out[2]) < len(rows[1][1]) - 150
 
 
+def ranked(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, int.from_bytes(substring_dedup.row_digest(*r)[8:], "big", signed=True)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_lines_against_a_loop(spark, seed):
+    """Every repeated line of any length goes, the earliest stays, and no word goes that stands in one place only."""
+    r, pool = random.Random(seed), words(seed + 500, 4_000, (6, 10))
+    shared = [" ".join(pool[k * 20 : k * 20 + 1 + k % 30]) for k in range(40)]
+    rows, at = [], 1_500
+    for i in range(60):
+        lines = []
+        for _ in range(r.randint(0, 6)):
+            if r.random() < 0.4:
+                lines.append(r.choice([str.upper, str.title, lambda x: f" {x}!"])(r.choice(shared)))
+            else:
+                n = r.randint(1, 14)
+                lines.append(", ".join(pool[at : at + n]))
+                at += n
+        rows.append((None if r.random() < 0.3 else r.randint(0, 20), "\n".join(lines)))
+    docs = frame(spark, rows).repartition(5)
+    spans = defaultdict(set)
+    for x in substring_dedup.repeated_spans(docs, 1).collect():
+        spans[x.digest] |= set(range(x.start, x.stop))
+    seen, places = {}, defaultdict(set)
+    for row in {x: None for x in ranked(rows)}:
+        key, begin = substring_dedup.row_digest(*row).hex(), 0
+        for line in row[1].split("\n"):
+            n = line_dedup.normal(line)
+            if n:
+                inside = {begin + k for k, c in enumerate(line) if c.isalnum()}
+                assert (inside <= spans[key]) == (n in seen), line
+                seen[n] = row
+            begin += len(line) + 1
+        for m in re.finditer(r"\w+", row[1]):
+            places[m[0].lower()].add((key, m.start()))
+    for row in rows:
+        key = substring_dedup.row_digest(*row).hex()
+        assert all(len(places[m[0].lower()]) > 1 for m in re.finditer(r"\w+", row[1]) if m.start() in spans[key])
+    left = substring_dedup.without_repeats(docs, 1)
+    assert same_but(left, frame(spark, rows), "text")
+    for x in left.collect():
+        key = substring_dedup.row_digest(*rows[x._row]).hex()
+        assert x.text == "".join(c for k, c in enumerate(rows[x._row][1]) if k not in spans[key])
+
+
 def test_repeated_spans_on_edges(edges, empty):
     found = substring_dedup.repeated_spans(edges).collect()
     assert {r.doc_id for r in found} <= {10, 11, 12, 17, 20} and {10, 11, 12} <= {r.doc_id for r in found}
-    assert substring_dedup.without_repeats(edges).count() == len(edge_rows())
+    assert same_but(substring_dedup.without_repeats(edges), edges, "text") and substring_dedup.without_repeats(edges).count() == len(edge_rows())
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
@@ -139,29 +204,20 @@ def test_fuzzy_lines_keep_the_earliest(spark):
     assert out[3] == ("Yes.", 4) and out[1] == (rows[0][1], len(rows[0][1]))
 
 
-def test_lines_against_brute_force(spark, sf_dir):
+def test_exact_repeats_of_lines_all_go(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
     removed = {r.doc_id: set(r.removed) for r in line_dedup.repeated_lines(docs).collect()}
     seen = set()
-    for i, text in rows:
-        for k, line in enumerate(text.split("\n")):
-            n = line_dedup.normal(line)
-            if len(n.split()) >= line_dedup.LEAST_WORDS:
-                assert n not in seen or k in removed[i]
-                seen.add(n)
-    groups = defaultdict(list)
-    for i, text in rows:
-        for k, line in enumerate(text.split("\n")):
-            if len(line_dedup.normal(line).split()) < line_dedup.LEAST_WORDS:
-                assert k not in removed[i]
-            groups[line_dedup.normal(line)].append((i, k))
+    for i, text in sorted((r.doc_id, r.text) for r in docs.collect()):
+        for k, n in enumerate(map(line_dedup.normal, text.split("\n"))):
+            assert k in removed[i] if n and n in seen else n or k not in removed[i]
+            seen.add(n)
 
 
 def test_fuzzy_lines_find_brute_force_pairs(spark, sf_dir):
     """Of all pairs with the stated edit similarity, the later line goes; no line goes without such a pair or an equal line."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = [(r.doc_id, k, n) for r in sorted(docs.collect()) for k, x in enumerate((r.text or "").split("\n")) if len((n := line_dedup.normal(x)).split()) >= line_dedup.LEAST_WORDS]
+    lines = [(r.doc_id, k, n) for r in sorted(docs.collect()) for k, x in enumerate((r.text or "").split("\n")) if (n := line_dedup.normal(x))]
     first = {n: (i, k) for i, k, n in reversed(lines)}
     distinct = sorted(first, key=len)
     counts = np.array([[x.count(c) for c in "abcdefghijklmnopqrstuvwxyz "] for x in distinct])
@@ -206,5 +262,6 @@ def test_lines_on_edges(edges, empty):
     assert len(found) == len(edge_rows())
     by = {r.doc_id: r.removed for r in found}
     assert by[21] == [1] and by[11] == [0, 1] and by[14] == []
-    assert line_dedup.without_repeated_lines(edges).count() == len(edge_rows())
+    left = line_dedup.without_repeated_lines(edges)
+    assert same_but(left, edges, "text", "n_chars") and left.count() == len(edge_rows())
     assert line_dedup.repeated_lines(empty).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.llm import decontaminate, quality
 
-from .conftest import edge_rows, frame, words
+from .conftest import edge_rows, frame, same_but, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -72,7 +72,7 @@ def test_proximity_finds_scattered_words(spark):
 def test_decontaminated_keeps_clean_rows(spark, edges):
     kept = decontaminate.decontaminated(edges, bench(spark, ITEMS[:1]))
     bad = {i for i, *_, c in judged(edge_rows(), ITEMS[:1]) if c}
-    assert kept.columns == edges.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in edge_rows() if str(i) not in bad)
+    assert same_but(kept, edges) and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in edge_rows() if str(i) not in bad)
 
 
 def labelled_corpus(n=400, seed=3):
@@ -98,7 +98,33 @@ def test_classifier_on_held_out_rows(spark):
     found = {r.doc_id: r.keep for r in quality.classify(frame(spark, rows), known).collect()}
     right = [found[i] == (q == 1 and t == 0) for i, q, t in labels[250:]]
     assert sum(right) / len(right) > 0.95
-    assert quality.kept_documents(frame(spark, rows), known).columns == frame(spark, []).columns
+    kept = quality.kept_documents(frame(spark, rows), known)
+    assert same_but(kept, frame(spark, rows)) and {r.doc_id for r in kept.collect()} == {i for i in found if found[i]}
+
+
+def test_classifier_does_not_depend_on_partitions(spark):
+    """Equal scores, with copies of texts under other metadata, however the rows are dealt."""
+    rows, labels = labelled_corpus(300)
+    rows += [(1000 + i, t) for i, t in rows[:150]]
+    known, found = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int"), []
+    for n in (1, 4, 7):
+        found.append(sorted((r.doc_id, r.p_text, r.p_meta, r.p_reject) for r in quality.classify(frame(spark, rows).repartition(n), known, labelled=120, pseudo=100).collect()))
+    assert found[0] == found[1] == found[2]
+
+
+def test_views_teach_each_other(spark):
+    """Words that no labelled row has are learnt from rows that the metadata view is sure of."""
+    r, vocabulary = random.Random(8), words(51, 200)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        marks = (["nasty"] if i < 150 else ["grim"]) * 4 if bad else []
+        rows.append((i, " ".join(r.choice(vocabulary) for _ in range(40)) + " " + " ".join(marks), "dark" if bad else "light"))
+        labels.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("source", F.when(F.col("doc_id") < 500, F.col("source")))
+    known = spark.createDataFrame(labels[:150], "doc_id long, quality int, toxic int")
+    late = lambda rounds: sum(not x.keep for x in quality.classify(docs, known, rounds=rounds).where("doc_id >= 500 and doc_id % 3 = 0").collect())
+    assert late(2) >= 30 > 5 >= late(0)
 
 
 def test_classifier_on_edges(spark, edges, empty):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, stored
+from ._common import Shelf, arrow_map, batch_of, renamed, stored, text_digest
 
 WINDOW = 13
 SEGMENT_WORDS = 1_000_000
@@ -31,7 +31,7 @@ _AT_ONCE = 4_000_000
 #: Bytes of words as they are (A-Z lower-cased); all others divide words.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-INDEX = "segment string, doc_ids array<long>, n_words array<long>, terms binary, ends binary, gaps binary"
+INDEX = "segment string, doc_ids array<long>, digests array<binary>, n_words array<long>, terms binary, ends binary, gaps binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -42,7 +42,7 @@ def words_of(text: str | None) -> list[bytes]:
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The index of docs: one row per segment.
 
-    Each row of docs is a document of its own, with a null or repeated doc_id too; null and empty texts are
+    A document is known by its doc_id and the md5 of its text. Each row of docs is one of its own, with a null or repeated doc_id too; null and empty texts are
     there with no words. An empty table gives an empty index. A document longer than a segment gets one of
     its own, whole.
     """
@@ -52,6 +52,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
         ids: dict[bytes, int] = {}
         flat: list[np.ndarray] = []
         docs_in: list[int | None] = []
+        digests: list[bytes] = []
         sizes: list[int] = []
 
         def segment() -> pa.RecordBatch:
@@ -61,18 +62,20 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             order = np.argsort(terms, kind="stable")
             ends = np.cumsum(np.bincount(terms, minlength=len(ids)))
             gaps = np.diff(place[order], prepend=0)
-            row = {"segment": [f"{task}-{k}"], "doc_ids": [list(docs_in)], "n_words": [list(sizes)], "terms": [b" ".join(ids)], "ends": [ends.astype("<i8").tobytes()], "gaps": [gaps.astype("<i4" if len(place) == 0 or place[-1] < 1 << 31 else "<i8").tobytes()]}
-            return batch_of(row, {"segment": pa.string(), "doc_ids": pa.list_(pa.int64()), "n_words": pa.list_(pa.int64()), "terms": pa.binary(), "ends": pa.binary(), "gaps": pa.binary()})
+            row = {"segment": [f"{task}-{k}"], "doc_ids": [list(docs_in)], "digests": [list(digests)], "n_words": [list(sizes)], "terms": [b" ".join(ids)], "ends": [ends.astype("<i8").tobytes()], "gaps": [gaps.astype("<i4" if len(place) == 0 or place[-1] < 1 << 31 else "<i8").tobytes()]}
+            return batch_of(row, {"segment": pa.string(), "doc_ids": pa.list_(pa.int64()), "digests": pa.list_(pa.binary()), "n_words": pa.list_(pa.int64()), "terms": pa.binary(), "ends": pa.binary(), "gaps": pa.binary()})
 
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
+                text = text.as_py() or ""
+                words = words_of(text)
                 if docs_in and held + len(words) > segment_words:
                     yield segment()
                     k, held = k + 1, 0
-                    ids, flat, docs_in, sizes = {}, [], [], []
+                    ids, flat, docs_in, digests, sizes = {}, [], [], [], []
                 docs_in.append(doc_id)
+                digests.append(hashlib.md5(text.encode(), usedforsecurity=False).digest())
                 sizes.append(len(words))
                 if words:
                     number = ids.setdefault
@@ -179,11 +182,11 @@ def _blocks(tests: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
         yield block
 
 
-MATCHES = "segment string, doc long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
+MATCHES = "segment string, doc long, doc_id long, digest binary, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
 def _search_block(index: DataFrame, block: list[tuple[object, str | None]]) -> DataFrame:
-    types = {"segment": pa.string(), "doc": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), "items": pa.list_(pa.string())}
+    types = {"segment": pa.string(), "doc": pa.int64(), "doc_id": pa.int64(), "digest": pa.binary(), "n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), "items": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block)
@@ -204,7 +207,7 @@ def _search_block(index: DataFrame, block: list[tuple[object, str | None]]) -> D
                 for x in pairs.tolist():
                     items[x // len(windows.items)].update(map(str, windows.items[x % len(windows.items)]))
                 n = len(seg.doc_ids)
-                yield batch_of({"segment": [row["segment"]] * n, "doc": list(range(n)), "doc_id": seg.doc_ids, "n_words": seg.n_words, "spans": [spans.get(d, []) for d in range(n)], "items": [sorted(items.get(d, ())) for d in range(n)]}, types)
+                yield batch_of({"segment": [row["segment"]] * n, "doc": list(range(n)), "doc_id": seg.doc_ids, "digest": row["digests"], "n_words": seg.n_words, "spans": [spans.get(d, []) for d in range(n)], "items": [sorted(items.get(d, ())) for d in range(n)]}, types)
 
     return index.mapInArrow(run, MATCHES)
 
@@ -222,7 +225,7 @@ def phrase_matches(index: DataFrame, tests: DataFrame) -> DataFrame:
     all_of = _search_block(index, blocks[0])
     for b in blocks[1:]:
         all_of = all_of.unionByName(_search_block(index, b))
-    joined = all_of.groupBy("segment", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = all_of.groupBy("segment", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merge = """aggregate(spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (a, x) ->
       if(size(a) > 0 and x.start <= element_at(a, -1).stop,
          concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop)))),
@@ -230,13 +233,14 @@ def phrase_matches(index: DataFrame, tests: DataFrame) -> DataFrame:
     return joined.withColumn("spans", F.expr(merge))
 
 
-def contamination(matches: DataFrame, per: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and per * n_hit >= n_words)."""
+def contamination(matches: DataFrame, per: int = 20, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and per * n_hit >= n_words), and
+    extra columns of matches."""
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)")
     return matches.withColumn("n_hit", hit).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words"))).alias("contaminated"), *extra,
     )
 
 
@@ -245,14 +249,19 @@ def stored_index(docs: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs.
+    """The rows of docs that are not contaminated, with the columns of docs as they are, whatever their names.
 
-    Judged row by row within one pass over segments of the whole table; the rows are matched again by
-    doc_id and text, so rows that agree in both share their judgement.
+    Rows are matched with their judgement by doc_id and the md5 of the text, so rows that repeat both share it. Null
+    and empty texts have no words and stay, as does all where there are no test texts; an empty table gives no rows.
     """
-    index = stored_index(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
-    bad = contamination(phrase_matches(index, tests)).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").select(*docs.columns)
+    with Shelf(docs.sparkSession) as shelf:
+        index = shelf.put(build_index(docs), "index", compression="zstd")
+        matches = phrase_matches(index, tests)
+        bad = contamination(matches, extra=("digest",)).where("contaminated").select("doc_id", "digest").distinct()
+        bad = stored(bad, "contaminated")
+    plain, back = renamed(docs)
+    doc, text = (f"c{docs.columns.index(x)}" for x in ("doc_id", "text"))
+    return back(plain.withColumn("own", text_digest(text)).join(bad, F.col(doc).eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")), "left_anti"))
 
 
 def proximity_matches(index: DataFrame, tests: DataFrame, slop: int = 8) -> DataFrame:

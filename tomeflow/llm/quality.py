@@ -1,15 +1,17 @@
 """Quality classification by co-training a text view and a metadata view.
 
 Each view is a logistic regression over its own bins. The text view has a bin for each hashed word and for
-each level of some ratios (capitals, marks, repetition ...) and fits those that tell the classes apart; the
-metadata view has bins for the other columns. Fitting takes at most about `LABELLED` labelled texts, each
-text once. In each round both views score all unlabelled documents, and up to about `PSEUDO` of a view's
-confident ones become weighted labels for the other. Scores of both views are calibrated on labelled texts
-held out from fitting and added as log-odds; all documents are scored.
+each level of some ratios (capitals, marks, repetition ...) and fits the words that tell the classes apart
+beyond chance; the metadata view has bins for the other columns. Fitting takes about `labelled` labelled
+texts at most, each text once. In each round both views score all unlabelled documents, and about `pseudo`
+of the texts that a view is confident of become weighted labels for the other. Both samples are chosen by
+the hash of a text's digest alone, so the model doesn't depend on how rows are partitioned. Scores of both
+views are calibrated on labelled texts held out from fitting and added as log-odds; all documents are scored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, batch_of, stored_at, texts_of
+from ._common import Shelf, arrow_map, batch_of, renamed, stored, text_digest, texts_of
 
-#: Bounds of the rows that a view is fitted to, and of the words that the text view keeps.
-LABELLED, PSEUDO, KEPT_WORDS = 12_000, 4_000, 512
+#: About the most texts that a view is fitted to: labelled ones, and pseudo-labels of each round.
+LABELLED, PSEUDO = 12_000, 4_000
 WORD_BINS, RATIO_BINS, META_BINS = 1 << 18, 1 << 10, 1 << 12
 TEXT_BINS = WORD_BINS + RATIO_BINS
 
@@ -64,7 +66,7 @@ def meta_bins(values: list[tuple[str, object]]) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(x.encode()) & (META_BINS - 1) for x in said], "<i4"))
 
 
-def _distinguishing(flat: np.ndarray, of: np.ndarray, bad: np.ndarray, bins: int, most: int) -> np.ndarray:
+def _distinguishing(flat: np.ndarray, of: np.ndarray, bad: np.ndarray, bins: int) -> np.ndarray:
     """The words (bins below `bins`) whose share among all distinct words differs most surely by class."""
     word = flat < bins
     x1 = np.bincount(flat[word & bad[of]], minlength=bins).astype(float)
@@ -72,8 +74,7 @@ def _distinguishing(flat: np.ndarray, of: np.ndarray, bad: np.ndarray, bins: int
     n1, n0 = max(1.0, x1.sum()), max(1.0, x0.sum())
     p = (x0 + x1) / (n0 + n1)
     ratio = sum(2 * np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * p, 1e-12)), 0) for x, n in ((x0, n0), (x1, n1)))
-    best = np.argsort(-ratio, kind="stable")[:most]
-    return best[ratio[best] > 12]
+    return np.flatnonzero(ratio > 12)
 
 
 @dataclass
@@ -95,7 +96,7 @@ class View:
         """Logistic regression by gradient steps of own size for each weight (Adam), decayed towards 0."""
         n = np.array([len(x) // 4 for x in packed], np.int64)
         flat, of = np.frombuffer(b"".join(packed), "<i4"), np.repeat(np.arange(len(packed)), n)
-        chosen = np.concatenate([_distinguishing(flat, of, bad, self.words, KEPT_WORDS), np.unique(flat[flat >= self.words])]).astype(np.int64)
+        chosen = np.concatenate([_distinguishing(flat, of, bad, self.words), np.unique(flat[flat >= self.words])]).astype(np.int64)
         place = np.full(self.bins, -1, np.int64)
         place[chosen] = np.arange(len(chosen))
         keep = place[flat] >= 0
@@ -147,23 +148,24 @@ class View:
         self.slope, self.offset = max(0.0, at[0]), at[1]
 
 
-FEATURES = "doc_id long, row long, digest long, text_bins binary, meta_bins binary"
+FEATURES = "doc_id long, digest binary, text_bins binary, meta_bins binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), digest (of the text) and the bins of both views of every row of docs.
+    """doc_id, digest (md5 of the text) and the bins of both views of every row of docs.
 
     Metadata are all columns but doc_id and text that hold strings or numbers; null is a value of its own.
     """
     kinds = ("string", "int", "bigint", "smallint", "tinyint", "float", "double")
     meta = [c for c, kind in docs.dtypes if kind in kinds and c not in ("doc_id", "text")]
-    chosen = docs.select("doc_id", "text", F.xxhash64("doc_id", "text"), F.xxhash64("text"), *(F.col(f"`{c}`") for c in meta)).toDF("doc_id", "text", "row", "digest", *(f"m{i}" for i in range(len(meta))))
+    chosen = docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in meta)).toDF("doc_id", "text", *(f"m{i}" for i in range(len(meta))))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch)
-        columns = [batch.column(4 + i).to_pylist() for i in range(len(meta))]
+        columns = [batch.column(2 + i).to_pylist() for i in range(len(meta))]
         values = zip(*columns, strict=True) if columns else ((),) * len(texts)
-        yield batch_of({"doc_id": batch.column(0), "row": batch.column(2), "digest": batch.column(3), "text_bins": [text_bins(t).tobytes() for t in texts], "meta_bins": [meta_bins(list(zip(meta, v))).tobytes() for v in values]}, {"text_bins": pa.binary(), "meta_bins": pa.binary()})
+        digests = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
+        yield batch_of({"doc_id": batch.column(0), "digest": digests, "text_bins": [text_bins(t).tobytes() for t in texts], "meta_bins": [meta_bins(list(zip(meta, v))).tobytes() for v in values]}, {"digest": pa.binary(), "text_bins": pa.binary(), "meta_bins": pa.binary()})
 
     return arrow_map(chosen, run, FEATURES)
 
@@ -181,7 +183,7 @@ class Model:
 
 
 def _sampled(rows: DataFrame, most: int, total: int) -> DataFrame:
-    """About `most` of `total` rows, chosen by their digest alone."""
+    """About `most` of the `total` texts of rows, chosen by their digest alone."""
     part = min(1_000_000, int(1_000_000 * most / max(1, total)))
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "digest"), F.lit(1_000_000)) < part)
 
@@ -198,19 +200,21 @@ def _confident(rows: DataFrame, views: list[View], confident: float) -> DataFram
             at = pa.array(sure)
             yield batch_of({"view": np.full(len(sure), k, np.int32), "bad": logits[sure] > 0, "digest": batch.column(0).take(at), "bins": batch.column(2 - k).take(at)}, {})
 
-    return arrow_map(rows.select("digest", "text_bins", "meta_bins"), run, "view int, bad boolean, digest long, bins binary")
+    return arrow_map(rows.select("digest", "text_bins", "meta_bins"), run, "view int, bad boolean, digest binary, bins binary")
 
 
-def co_train(rows: DataFrame, rounds: int = 2, confident: float = 0.98, weight: float = 0.25, held_out: float = 0.25) -> Model | None:
-    """Fits both views to rows (digest, bins and bad; bad is null where unlabelled).
+def co_train(rows: DataFrame, rounds: int = 2, confident: float = 0.98, weight: float = 0.25, held_out: float = 0.25, labelled: int = LABELLED, pseudo: int = PSEUDO) -> Model | None:
+    """Fits both views to rows (digest, text_bins, meta_bins and bad; bad is null where unlabelled).
 
-    None without labels of both kinds. Of rows with equal text one counts, as bad if any is.
+    None without labels of both kinds. Of rows with equal text one counts, with the least metadata bins, as bad
+    if any is; so does one of equal texts that a view is confident of.
     """
-    labelled = rows.where("bad is not null").groupBy("digest").agg(F.max("bad").alias("bad"), F.first("text_bins").alias("text_bins"), F.first("meta_bins").alias("meta_bins"))
+    texts = rows.where("bad is not null").groupBy("digest").agg(F.max("bad").alias("bad"), F.min("text_bins").alias("text_bins"), F.min("meta_bins").alias("meta_bins"))
     counts = {r["bad"]: r["count"] for r in rows.where("bad is not null").select("digest", "bad").groupBy("digest").agg(F.max("bad").alias("bad")).groupBy("bad").count().collect()}
     if not counts.get(True) or not counts.get(False):
         return None
-    known = _sampled(labelled, LABELLED, sum(counts.values())).select("digest", "bad", "text_bins", "meta_bins").orderBy("digest").limit(2 * LABELLED).toPandas()
+    known = _sampled(texts, labelled, sum(counts.values())).toPandas()
+    known = known.iloc[np.argsort(known["digest"].map(bytes).to_numpy(), kind="stable")]
     held = (np.arange(len(known)) % 100) < 100 * held_out
     bad = known["bad"].to_numpy(bool)
     bins = [known[c].map(bytes).tolist() for c in ("text_bins", "meta_bins")]
@@ -226,39 +230,54 @@ def co_train(rows: DataFrame, rounds: int = 2, confident: float = 0.98, weight:
                 histogram[s] = (good_bad[0] + (not b), good_bad[1] + b)
             v.calibrate(histogram)
         if k < rounds:
-            sure = _confident(rows.where("bad is null"), views, confident)
-            sizes = {(r["view"]): r["count"] for r in sure.groupBy("view").count().collect()}
-            for view in range(2):
-                found = _sampled(sure.where(F.col("view") == view), PSEUDO, sizes.get(view, 0)).limit(2 * PSEUDO).toPandas()
-                extra[1 - view] = (found["bins"].map(bytes).tolist(), found["bad"].to_numpy(bool))
-            extra = list(extra)
+            extra = _exchanged(_confident(rows.where("bad is null"), views, confident), pseudo)
     return Model(*views, prior=math.log(counts[True] / counts[False]))
 
 
-SCORES = "doc_id long, row long, p_text double, p_meta double, p_reject double, keep boolean"
+def _exchanged(sure: DataFrame, pseudo: int) -> list[tuple[list[bytes], np.ndarray]]:
+    """For each view, bins and labels of about `pseudo` texts that the other view is sure of."""
+    sizes = {r["view"]: r["count"] for r in sure.select("view", "digest").distinct().groupBy("view").count().collect()}
+    extra = []
+    for other in (1, 0):
+        some = _sampled(sure.where(F.col("view") == other), pseudo, sizes.get(other, 0))
+        some = some.groupBy("digest").agg(F.min(F.struct("bins", "bad")).alias("x")).select("digest", "x.bins", "x.bad").toPandas()
+        some = some.iloc[np.argsort(some["digest"].map(bytes).to_numpy(), kind="stable")]
+        extra.append((some["bins"].map(bytes).tolist(), some["bad"].to_numpy(bool)))
+    return extra
+
+
+SCORES = "doc_id long, digest binary, p_text double, p_meta double, p_reject double, keep boolean"
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings: float) -> DataFrame:
-    """doc_id, row, p_text, p_meta, p_reject and keep (p_reject below threshold) of every row of docs.
+    """doc_id, digest (md5 of the text), p_text, p_meta, p_reject and keep (p_reject below threshold) of every row of docs.
 
     labels: doc_id, quality, toxic. A document is to be rejected if a label calls it toxic (1) or of low
     quality (0); contradicting labels count as the worse one, null fields say nothing. Without labels of
     both kinds all is kept, with p_reject 0. Null texts are judged as empty ones. Repeated rows are judged
-    alike, a null doc_id is judged but can't be labelled.
+    alike, a null doc_id is judged but can't be labelled. Texts of any length are judged whole. Other columns,
+    whatever their names, are metadata; an empty table gives no rows. settings: see co_train.
     """
     by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), True).when((F.col("toxic") == 0) | (F.col("quality") == 1), False)).alias("bad"))
-    rows, _ = stored_at(features(docs).join(by_doc.hint("merge"), "doc_id", "left"), "quality", compression="zstd")
-    model = co_train(rows, **settings)
+    with Shelf(docs.sparkSession) as shelf:
+        rows = shelf.put(features(docs).join(by_doc.hint("merge"), "doc_id", "left"), "quality", compression="zstd")
+        model = co_train(rows, **settings)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = batch.num_rows
-        p = model.probabilities(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if model else (np.zeros(n),) * 3
-        yield batch_of({"doc_id": batch.column(0), "row": batch.column(1), "p_text": p[0], "p_meta": p[1], "p_reject": p[2], "keep": p[2] < threshold}, {})
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            n = batch.num_rows
+            p = model.probabilities(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if model else (np.zeros(n),) * 3
+            yield batch_of({"doc_id": batch.column(0), "digest": batch.column(1), "p_text": p[0], "p_meta": p[1], "p_reject": p[2], "keep": p[2] < threshold}, {})
 
-    return arrow_map(rows.select("doc_id", "row", "text_bins", "meta_bins"), run, SCORES)
+        return stored(arrow_map(rows.select("doc_id", "digest", "text_bins", "meta_bins"), run, SCORES), "scores", compression="zstd")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
-    """The rows of docs that classify() keeps, with the columns of docs."""
-    bad = classify(docs, labels, **settings).where("not keep").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").select(*docs.columns)
+    """The rows of docs that classify() keeps, with the columns of docs as they are, whatever their names.
+
+    Rows that repeat doc_id and text go together, if any is rejected. Null and empty texts and null doc_ids are
+    judged as in classify(); an empty table gives no rows.
+    """
+    bad = classify(docs, labels, **settings).where("not keep").select("doc_id", "digest").distinct()
+    plain, back = renamed(docs)
+    doc, text = (f"c{docs.columns.index(x)}" for x in ("doc_id", "text"))
+    return back(plain.withColumn("own", text_digest(text)).join(bad, F.col(doc).eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")), "left_anti"))
