@@ -75,6 +75,9 @@ def test_spelled_examples():
         ("в 1812 году", "в тысяча восемьсот двенадцатом году"), ("после 1945 года", "после тысяча девятьсот сорок пятого года"), ("к 2024 году", "к две тысячи двадцать четвёртому году"),
         ("Книга 3", "Книга третья"), ("том 12", "том двенадцатый"), ("в XVIII веке", "в восемнадцатом веке"), ("XVII—XVIII вв.", "семнадцатого—восемнадцатого веков"), ("до V в.", "до пятого века"),
         ("доля 7%", "доля семь процентов"), ("модель B2 и x64", "модель B2 и x64"), ("пункт IX", "пункт девять"), ("раздел 1000000", "раздел один миллион"),
+        ("с 1991 года", "с тысяча девятьсот девяносто первого года"), ("в 2003 году", "в две тысячи третьем году"), ("за 1999 год", "за тысяча девятьсот девяносто девятый год"), ("перед 1999 годом", "перед одна тысяча девятьсот девяносто девять годом"),
+        ("Глава XIV, 45", "Глава четырнадцатая, сорок пять"), ("на рубеже III — IV вв. до", "на рубеже третьего—четвёртого веков до"), ("XX век", "двадцатый век"), ("На xix веку", "На xix веку"), ("МВД и ЦИК", "МВД и ЦИК"),
+        ("IIX и VX", "IIX и VX"), ("3,5 килограмма", "три целых пять десятых килограмма"), ("рост 45 % и 7%", "рост сорок пять процентов и семь процентов"), ("часть 12б", "часть 12б"), ("в V  в. нашей", "в пятом веке нашей"),
     ],
 )
 def test_russian_speech(said, expected):

@@ -1,6 +1,6 @@
 """Scalar text functions as Columns: repair, predicates, names, keys and estimates.
 
-Everything here is built from JVM functions, so it stays inside whole-stage codegen.
+Everything here is built from JVM functions; those with a lambda are interpreted, the others compiled with their stage.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ ABBREVIATIONS = {
     "ru": {"т.е.": "то есть", "т.д.": "так далее", "т.п.": "тому подобное", "т.к.": "так как", "стр.": "страница", "см.": "смотри", "др.": "другие", "гг.": "годы", "вв.": "века"},
     "en": {"e.g.": "for example", "i.e.": "that is", "Fig.": "Figure", "fig.": "figure", "etc.": "et cetera", "vs.": "versus"},
 }
+LINK_STARTS, LINK_REST = ("http://", "https://", "www\\."), "\\S+"
+MAIL_NAME, MAIL_HOST = "[\\w.+-]+", "[\\w-]+\\.[\\w.]+\\b"
 LINK_WORDS = {"ru": "ссылка", "en": "link"}
 UNTITLED = {"ru": "Без названия", "en": "Untitled"}
 OPENING = {"ru": "Начало", "en": "Beginning"}
@@ -63,7 +65,11 @@ def clean_text(c: Column) -> Column:
 
 
 def strip_urls(c: Column, language: str = "en") -> Column:
-    return F.regexp_replace(c, "(?U)\\b(?:https?://|www\\.)\\S+|\\b[\\w.+-]+@[\\w-]+\\.[\\w.]+\\b", LINK_WORDS.get(language, "link"))
+    """Links and mail addresses, each as one word."""
+    word = LINK_WORDS.get(language, "link")
+    for kind in (f"(?:{'|'.join(LINK_STARTS)}){LINK_REST}", f"{MAIL_NAME}@{MAIL_HOST}"):
+        c = F.regexp_replace(c, f"(?U)\\b{kind}", word)
+    return c
 
 
 def expand_abbreviations(c: Column, language: str = "en") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -11,15 +12,27 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # Letter names, letters and letter groups in the order of their precedence.
-NAMES = dict(zip("abcdefghijklmnopqrstuvwxyz", "эй би си ди и эф джи эйч ай джей кей эл эм эн оу пи кью ар эс ти ю ви дабл-ю экс уай зед".split()))
-LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "а б к д е ф г х и дж к л м н о п к р с т у в в кс й з".split()))
-PAIRS = dict(zip("sch tch ch sh th ph ck qu ee ea oo ou ay ey ai oy ya yu ye yo".split(), "ш ч ч ш т ф к кв и и у ау эй эй эй ой я ю е ё".split()))
-LONG_VOWELS = dict(zip("aeiou", "эй и ай оу ю".split()))
+NAMES = {
+    "a": "эй", "b": "би", "c": "си", "d": "ди", "e": "и", "f": "эф", "g": "джи", "h": "эйч", "i": "ай", "j": "джей", "k": "кей", "l": "эл", "m": "эм",
+    "n": "эн", "o": "оу", "p": "пи", "q": "кью", "r": "ар", "s": "эс", "t": "ти", "u": "ю", "v": "ви", "w": "дабл-ю", "x": "экс", "y": "уай", "z": "зед",
+}
+LETTERS = {
+    "a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "j": "дж", "k": "к", "l": "л", "m": "м",
+    "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "й", "z": "з",
+}
+PAIRS = {
+    "sch": "ш", "tch": "ч", "ch": "ч", "sh": "ш", "th": "т", "ph": "ф", "ck": "к", "qu": "кв", "ee": "и", "ea": "и",
+    "oo": "у", "ou": "ау", "ay": "эй", "ey": "эй", "ai": "эй", "oy": "ой", "ya": "я", "yu": "ю", "ye": "е", "yo": "ё",
+}
+LONG_VOWELS = {"a": "эй", "e": "и", "i": "ай", "o": "оу", "u": "ю"}
 CONSONANTS = "bcdfghjklmnpqrstvwxz"
+JOINERS = "'’-"
 
-_WORD = re.compile(r"[A-Za-z]+(?:['’-][A-Za-z]+)*")
+#: Letters, and more letters after single joiners.
+_WORD = re.compile(f"[A-Za-z]+(?:[{JOINERS}][A-Za-z]+)*")
 _MAGIC = re.compile(rf"([aeiou])([{CONSONANTS}])e$")
 _SILENT = re.compile(rf"(?<=...[{CONSONANTS}])e$")
+_AND = re.compile(r"\s*&\s*")
 _SOUND = re.compile("|".join([*PAIRS, "(?<=.)y$", "[a-z]"]), re.DOTALL)
 
 
@@ -34,17 +47,19 @@ def sounded(word: str) -> str:
     return _SOUND.sub(lambda m: PAIRS.get(m.group(0)) or ("и" if m.group(0) == "y" and m.start() and m.end() == len(low) else LETTERS[m.group(0)]), low)
 
 
-def _word(m: re.Match) -> str:
-    letters = re.sub("['’-]", "", m.group(0))
+@functools.lru_cache(maxsize=200_000)
+def said(word: str) -> str:
+    """A word, or the letters of a short one in capitals by their names; each worker works a word out once."""
+    letters = "".join(c for c in word if c not in JOINERS)
     if len(letters) == 1 or (letters.isupper() and len(letters) <= 6):
         return "-".join(NAMES[c] for c in letters.lower())
-    return sounded(m.group(0))
+    return sounded(word)
 
 
 def in_cyrillic(text: str) -> str:
     if not re.search("[A-Za-z]", text):
         return text
-    return _WORD.sub(_word, re.sub(r"\s*&\s*", " энд ", text))
+    return _WORD.sub(lambda m: said(m[0]), _AND.sub(" энд ", text) if "&" in text else text)
 
 
 @pandas_udf(StringType())
@@ -53,7 +68,9 @@ def _in_cyrillic(texts: pd.Series) -> pd.Series:
 
 
 def latin_to_cyrillic(c: Column) -> Column:
-    return _in_cyrillic(c)
+    """Texts without a Latin letter stay as they are, in the JVM."""
+    latin = F.regexp_like(c, F.lit("[A-Za-z]"))
+    return F.when(latin, _in_cyrillic(F.when(latin, c))).otherwise(c)
 
 
 def spelled_acronym(c: Column) -> Column:
