@@ -48,13 +48,16 @@ def test_bucket_groups_lose_nothing(spark, seed, most, crowd, monkeypatch):
     r = random.Random(seed)
     at, bucket = [r.randint(0, 150) for _ in range(90)], [r.randint(1, 3) for _ in range(90)]
     bucket[-1] = 4
-    points = spark.createDataFrame([(i, str(x), [b, *([5] if i < 6 else [])]) for i, (x, b) in enumerate(zip(at, bucket))], "id long, text string, keys array<long>")
+    points = spark.createDataFrame([(i, str(x)) for i, x in enumerate(at)], "id long, text string")
 
-    def partners(texts):
-        return lambda i, js, label: (int(j) for j in js if label[j] != label[i] and abs(int(texts[i]) - int(texts[j])) <= 2)
+    def link(texts, i, j, groups):
+        for a, b in zip(i.tolist(), j.tolist()):
+            if abs(int(texts[a]) - int(texts[b])) <= 2:
+                groups.join(a, b)
+        yield from ()
 
     members = spark.createDataFrame([(b, i) for i, b in enumerate(bucket)] + [(5, i) for i in range(6)], "bucket long, id long")
-    found = {x.node: x.root for x in bucket_groups(members, lambda ids: points.join(ids, "id"), partners, most).collect()}
+    found = {x.node: x.root for x in bucket_groups(members, lambda ids: points.join(ids, "id"), link, most=most).collect()}
     links = [(a, b) for a, b in combinations(range(90), 2) if abs(at[a] - at[b]) <= 2 and (bucket[a] == bucket[b] or b < 6)]
     assert [found.get(i, i) for i in range(90)] == classes(90, links)
 

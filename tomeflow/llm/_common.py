@@ -36,9 +36,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def stored_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """As stored(), with the path. The shuffle files of the job go when it ends: what it made is on disk."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_stored(spark: SparkSession, path: str) -> None:

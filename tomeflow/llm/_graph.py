@@ -1,15 +1,18 @@
 """Links between near duplicates and the groups they form, without all pairs of a bucket in one task and without the driver.
 
 Members of a bucket are dealt to blocks of bounded size. A unit is a block, or two blocks whose members are compared
-with each other; its texts are shipped to one task, which keeps a union-find of the unit's members and compares only
+with each other; its texts are shipped to one task, which keeps the groups of the unit's members and compares only
 those that nothing joins yet. So rows shipped grow with the members of a bucket (and with the square of the number
 of its blocks only where blocks hold members of different groups), pairs never become rows, and what leaves a unit is
 a spanning forest of its links.
+
+The low six bits of a bucket number are its band. A pair that shares several buckets is compared in that of the least
+band; buckets of band LOOSE are not counted in this.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,61 +21,157 @@ from pyspark.sql import functions as F
 
 from ._common import Shelf, batch_of, stored, whole_groups
 
-#: About the members of a block and the sum of their weights.
-MEMBERS, WEIGHT = 512, 1 << 20
+LOOSE = 63
+#: About the members of a block and the characters of their texts.
+MEMBERS, CHARS = 512, 1 << 20
 #: Links that one task of components() holds.
 LINKS = 1_000_000
+#: One member in SAMPLE is looked at to find the buckets of more than CROWD members or so, which are dealt by member.
+SAMPLE, CROWD = 64, 100_000
+
+#: Pairs of a table of units that are looked at in one go.
+PAIRS = 1 << 19
+
+#: Pairs of texts that wait to be checked at once.
+WAITING = 8192
+
+#: What a linker asks for and gets back: pairs of texts with a limit each, and whether they are linked.
+Checks = Generator[tuple[list[tuple[str, str]], np.ndarray], np.ndarray, None]
+Check = Callable[[list[tuple[str, str]], np.ndarray], np.ndarray]
+#: Given texts, pairs (i, j) of them that may be linked, and the groups so far, joins what is linked; pairs that are
+#: joined already may be left out. Pairs that it yields are checked with those of other runs of units.
+Linker = Callable[[list[str], np.ndarray, np.ndarray, "Groups"], Checks]
+
+
+class Groups:
+    """The groups of the members of some units. Members of a unit stand together, so a join touches its rows only."""
+
+    def __init__(self, label: np.ndarray, edges: np.ndarray) -> None:
+        self.label, self.links = label.copy(), []
+        self._begin, self._stop = (np.repeat(x, np.diff(edges)) for x in (edges[:-1], edges[1:]))
 
-#: Given the texts of a unit, a function that yields those of the members js that are linked to member i; it may skip
-#: any j whose label has become i's.
-Partners = Callable[[list[str]], Callable[[int, np.ndarray, np.ndarray], Iterator[int]]]
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.label[i] != self.label[j]
 
+    def join(self, i: int, j: int) -> None:
+        a, b = self.label[i], self.label[j]
+        if a != b:
+            self.links.append((i, j))
+            rows = self.label[self._begin[i] : self._stop[i]]
+            rows[rows == b] = a
 
-def spanning(label: np.ndarray, side: np.ndarray, partners: Callable[[int, np.ndarray, np.ndarray], Iterator[int]]) -> list[tuple[int, int]]:
-    """Links that join what all links between members would, given the labels of members that are joined already.
 
-    Members of sides 0 and 1 are compared across only, those of side 2 with all.
+def in_band(keys: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """Bucket numbers of keys (unsigned) with their band in the low bits."""
+    return (keys & ~np.uint64(LOOSE) | np.asarray(band).astype(np.uint64)).view(np.int64)
+
+
+def _pairs(unit: np.ndarray, band: np.ndarray, side: np.ndarray, keys: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, i, j) of runs of whole units with their pairs, i and j counted from the first row.
+
+    Members of sides 0 and 1 are paired across only, those of side 2 with all; pairs that share one of their keys in a
+    band below the unit's are left out. of: the row of each key.
     """
-    label, found = label.copy(), []
-    for i in range(len(label) - 1):
-        other = label[i + 1 :] != label[i]
-        if side[i] < 2:
-            other &= side[i + 1 :] != side[i]
-        js = np.flatnonzero(other) + i + 1
-        if len(js):
-            for j in partners(i, js, label):
-                if label[j] != label[i]:
-                    found.append((i, j))
-                    label[label == label[j]] = label[i]
-    return found
-
-
-def _unit_links(rows: DataFrame, partners: Partners) -> DataFrame:
-    """Links (a, b) inside the units of rows (unit, id, label, side, text)."""
-
-    def one(part: pa.Table) -> list[tuple[int, int]]:
-        ids = part.column("id").to_numpy()
-        label = np.unique(part.column("label").to_numpy(), return_inverse=True)[1]
-        texts = [t or "" for t in part.column("text").to_pylist()]
-        return [(int(ids[i]), int(ids[j])) for i, j in spanning(label, part.column("side").to_numpy(), partners(texts))]
+    edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+    sizes = np.diff(edges)
+    made = np.cumsum(sizes * (sizes - 1) // 2)
+    table = np.zeros((len(unit), LOOSE), np.int64)
+    firm = keys & LOOSE < LOOSE
+    table[of[firm], keys[firm] & LOOSE] = keys[firm]
+    triangles = {int(m): np.triu_indices(m, 1) for m in np.unique(sizes)}
+    u = 0
+    while u < len(sizes):
+        stop = max(u + 1, int(np.searchsorted(made, (made[u - 1] if u else 0) + PAIRS, "right")))
+        i, j = (np.concatenate([triangles[m][k] + b for m, b in zip(sizes[u:stop].tolist(), edges[u:stop].tolist())]) for k in range(2))
+        keep = (side[i] == 2) | (side[i] != side[j])
+        i, j = i[keep], j[keep]
+        new = np.ones(len(i), bool)
+        for c in range(int(band[i].max(initial=0))):
+            new &= (table[i, c] != table[j, c]) | (table[i, c] == 0) | (band[i] <= c)
+        yield edges[u], edges[stop], i[new] - edges[u], j[new] - edges[u]
+        u = stop
+
+
+def _unit_links(rows: DataFrame, link: Linker, check: Check | None) -> DataFrame:
+    """Links (a, b) inside the units of rows (unit, band, id, label, side, text, keys) that join what all links would."""
+
+    def started(part: pa.Table) -> Iterator[tuple[np.ndarray, Groups, Checks]]:
+        unit, band, ids, label, side = (part.column(c).to_numpy() for c in ("unit", "band", "id", "label", "side"))
+        texts, keys = [t or "" for t in part.column("text").to_pylist()], part.column("keys").combine_chunks()
+        of = np.repeat(np.arange(len(unit)), keys.value_lengths().to_numpy())
+        for a, b, i, j in _pairs(unit, band, side, keys.flatten().to_numpy(), of):
+            edges = np.concatenate([[a], np.flatnonzero(unit[a + 1 : b] != unit[a : b - 1]) + a + 1, [b]]) - a
+            groups = Groups(label[a:b], edges)
+            differ = groups.apart(i, j)
+            yield ids[a:b], groups, link(texts[a:b], i[differ], j[differ], groups)
+
+    def finished(waiting: list[tuple[np.ndarray, Groups, Checks, tuple]]) -> Iterator[pa.RecordBatch]:
+        """Checks what waits, over and over until no run of units asks for more."""
+        while waiting:
+            said = check([p for *_, (pairs, _) in waiting for p in pairs], np.concatenate([limits for *_, (_, limits) in waiting]))
+            at, again = 0, []
+            for ids, groups, steps, (pairs, _) in waiting:
+                try:
+                    again.append((ids, groups, steps, steps.send(said[at : at + len(pairs)])))
+                except StopIteration:
+                    yield linked(ids, groups)
+                at += len(pairs)
+            waiting = again
+
+    def linked(ids: np.ndarray, groups: Groups) -> pa.RecordBatch:
+        at = np.array(groups.links, np.int64).reshape(-1, 2)
+        return batch_of({"a": ids[at[:, 0]], "b": ids[at[:, 1]]}, {"a": pa.int64(), "b": pa.int64()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
         for part in whole_groups(batches, ["unit"]):
-            unit = part.column("unit").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
-            links = [x for a, b in zip(edges, edges[1:]) for x in one(part.slice(a, b - a))]
-            yield batch_of({"a": [a for a, _ in links], "b": [b for _, b in links]}, {"a": pa.int64(), "b": pa.int64()})
+            for ids, groups, steps in started(part):
+                asked = next(steps, None)
+                if asked is None:
+                    yield linked(ids, groups)
+                else:
+                    waiting.append((ids, groups, steps, asked))
+                    n += len(asked[0])
+                if n >= WAITING:
+                    yield from finished(waiting)
+                    waiting, n = [], 0
+        yield from finished(waiting)
+
+    together = rows.repartition(_tasks(rows), "unit").sortWithinPartitions("unit")
+    return together.select("unit", "band", "id", "label", "side", "text", "keys").mapInArrow(run, "a long, b long")
+
 
-    together = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
-    return together.select("unit", "id", "label", "side", "text").mapInArrow(run, "a long, b long")
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _sharing(shelf: Shelf, members: DataFrame) -> DataFrame:
+    """The members (bucket, id) whose bucket has another one.
+
+    They are sorted by bucket and read in one pass; only buckets that a sample shows to be crowded, which need no
+    count, stay where they are. The sample decides on that alone.
+    """
+    some = members.where(F.pmod(F.xxhash64(F.lit("crowd"), "id"), F.lit(SAMPLE)) == 0)
+    crowded = shelf.put(some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD // SAMPLE).select("bucket"), "crowded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, ["bucket"]):
+            bucket = part.column("bucket").to_numpy()
+            same = bucket[1:] == bucket[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            yield batch_of({"bucket": bucket[keep], "id": part.column("id").to_numpy()[keep]}, {})
+
+    few = members if crowded.isEmpty() else members.join(crowded, "bucket", "left_anti")
+    found = few.select("bucket", "id").repartition(_tasks(members), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, id long")
+    return found if few is members else found.unionByName(members.join(crowded, "bucket").select("bucket", "id"))
 
 
 def _blocks(n: Column, weight: Column, most: int) -> Column:
-    return F.greatest(F.ceil(n / most), F.ceil(weight / WEIGHT), F.lit(1))
+    return F.greatest(F.ceil(n / most), F.ceil(weight / CHARS), F.lit(1))
 
 
 def _across(shelf: Shelf, wide: DataFrame, groups: DataFrame, most: int) -> DataFrame:
-    """(unit, id, label, side) of the pairs of blocks in which members of wide (bucket, id, weight) with different
+    """(unit, band, id, label, side) of the pairs of blocks in which members of wide (bucket, id, weight) with different
     labels meet.
 
     The members of a bucket's largest group are its crowd, all others stand apart. Blocks of the crowd meet blocks
@@ -89,30 +188,37 @@ def _across(shelf: Shelf, wide: DataFrame, groups: DataFrame, most: int) -> Data
       transform(sequence(0L, ka - 1), j -> struct((kc + least(j, block)) * ka + greatest(j, block) AS u, CASE WHEN j = block THEN 2 WHEN block < j THEN 0 ELSE 1 END AS side)))
     ELSE transform(sequence(0L, ka - 1), j -> struct(block * ka + j AS u, 0 AS side)) END""")
     met = placed.select("bucket", "id", "label", F.explode(meetings).alias("m"))
-    return met.select(F.xxhash64("bucket", "m.u").alias("unit"), "id", "label", "m.side")
+    return met.select(F.xxhash64("bucket", "m.u").alias("unit"), _band("bucket").alias("band"), "id", "label", "m.side")
+
+
+def _band(bucket: str) -> Column:
+    return F.col(bucket).bitwiseAND(F.lit(LOOSE)).cast("int")
 
 
-def bucket_groups(members: DataFrame, payload: Callable[[DataFrame], DataFrame], partners: Partners, most: int = MEMBERS) -> DataFrame:
-    """(node, root) of the members (bucket, id, weight) of buckets that links between members of one bucket join.
+def bucket_groups(members: DataFrame, payload: Callable[[DataFrame], DataFrame], link: Linker, check: Check | None = None, most: int = MEMBERS) -> DataFrame:
+    """(node, root) of the members (bucket, id) of buckets that links between members of one bucket join.
 
-    payload gives (id, text), once for each of the wanted ids that share a bucket. First each block is compared
-    within itself; equal sets of members that meet in several buckets are one unit. Then buckets of several blocks
-    that are not one group yet have their blocks compared with each other (see _across). So each pair of a bucket
-    is compared or joined by other links, whatever the size of the bucket.
+    payload gives (id, text), once for each of the wanted ids, those that share a bucket. First each block is compared within itself; equal sets of members that meet in several buckets are one unit. Then
+    buckets of several blocks that are not one group yet have their blocks compared with each other (see _across). So
+    each pair of a bucket is compared or joined by other links, whatever the size of the bucket.
     """
     with Shelf(members.sparkSession) as shelf:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n > 1")
-        sizes = shelf.put(sizes.select("bucket", _blocks(F.col("n"), F.col("w"), most).alias("blocks")), "sizes")
-        shared = shelf.put(members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "shared", compression="zstd")
-        texts = shelf.put(payload(shared.select("id").distinct()), "texts", compression="zstd")
-        sets = shared.repartition("bucket", "block").groupBy("bucket", "block").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-        units = shelf.put(sets.select("ids").distinct().withColumn("unit", F.monotonically_increasing_id()), "units", compression="zstd")
-        alone = units.select("unit", F.explode("ids").alias("id")).join(texts, "id")
-        links = shelf.put(_unit_links(alone.select("unit", "id", F.col("id").alias("label"), F.lit(2).alias("side"), "text"), partners), "links")
+        shared = shelf.put(_sharing(shelf, members), "shared", compression="zstd")
+        keys = shared.groupBy("id").agg(F.collect_set("bucket").alias("keys"))
+        texts = shelf.put(payload(keys.select("id")).join(keys, "id"), "texts", compression="zstd")
+        shared = shared.join(texts.select("id", F.length("text").alias("weight")), "id")
+        large = shared.groupBy("bucket").agg(_blocks(F.count(F.lit(1)), F.sum("weight"), most).alias("blocks")).where("blocks > 1")
+        large = shelf.put(large, "large")
+        block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))
+        sets = shared.join(large, "bucket", "left").withColumn("block", block).repartition("bucket", "block").groupBy("bucket", "block")
+        sets = sets.agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+        units = sets.groupBy("ids").agg(F.min(_band("bucket")).alias("band")).withColumn("unit", F.monotonically_increasing_id())
+        units = shelf.put(units, "units", compression="zstd")
+        alone = units.select("unit", "band", F.explode("ids").alias("id")).join(texts, "id")
+        links = shelf.put(_unit_links(alone.select("*", F.col("id").alias("label"), F.lit(2).alias("side")), link, check), "links")
         groups = components(links)
-        wide = shared.where("blocks > 1").select("bucket", "id", "weight")
-        if not wide.isEmpty():
-            more = shelf.put(_unit_links(_across(shelf, wide, groups, most).join(texts, "id"), partners), "more")
+        if not large.isEmpty():
+            more = shelf.put(_unit_links(_across(shelf, shared.join(large, "bucket"), groups, most).join(texts, "id"), link, check), "more")
             groups = components(links.unionByName(more))
         return groups
 

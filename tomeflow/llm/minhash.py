@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Shelf, arrow_map, batch_of, renamed, stored, text_digest, texts_of
-from ._graph import bucket_groups
+from ._graph import Checks, Groups, Linker, bucket_groups, in_band
 from ._words import Words, mixed, shingles, text_runs
 
 BANDS, ROWS = 24, 6
@@ -92,42 +92,42 @@ def _draw(bags: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, found: n
 
 
 def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """A signed 64-bit key for each band of each signature."""
+    """A bucket number for each band of each signature."""
     bits = np.ascontiguousarray(found).view(np.uint64).reshape(len(found), bands, -1)
     key = np.zeros(bits.shape[:2], np.uint64)
     for k in range(bits.shape[2]):
         key = mixed(key * np.uint64(0x100000001B3) + bits[:, :, k])
-    return mixed(key + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+    band = np.arange(bands, dtype=np.uint64)
+    return in_band(mixed(key + band * np.uint64(0xD1342543DE82EF95)), band)
 
 
-def partners_of(similarity: float) -> Callable[[list[str]], Callable[[int, np.ndarray, np.ndarray], Iterator[int]]]:
+def linker(similarity: float) -> Linker:
     """For bucket_groups: texts are linked whose multisets of shingles overlap in at least similarity."""
 
-    def of(texts: list[str]) -> Callable[[int, np.ndarray, np.ndarray], Iterator[int]]:
-        words = Words(texts)
-        bags = [multiset(words.hashes[a:b]) for a, b in zip(words.edges, words.edges[1:])]
-        if len(texts) == 2:
-            return lambda i, js, label: iter(js if overlap(*bags) >= similarity - 1e-12 else ())
-        sizes = np.array([len(h) for h, _ in bags])
-        begins = np.cumsum(sizes) - sizes
-        distinct, column = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)
-        weight, own = np.concatenate([w for _, w in bags]), np.zeros(len(distinct), np.int64)
-        total = np.add.reduceat(weight, begins)
-
-        def partners(i: int, js: np.ndarray, label: np.ndarray) -> Iterator[int]:
-            js = js[np.minimum(total[js], total[i]) >= (similarity - 1e-12) * np.maximum(total[js], total[i])]
-            if len(js):
-                mine = slice(begins[i], begins[i] + sizes[i])
-                own[column[mine]] = weight[mine]
-                ends = np.cumsum(sizes[js])
-                at = np.arange(ends[-1]) + np.repeat(begins[js] - ends + sizes[js], sizes[js])
-                shared = np.add.reduceat(np.minimum(own[column[at]], weight[at]), ends - sizes[js])
-                own[column[mine]] = 0
-                yield from js[shared / (total[js] + total[i] - shared) >= similarity - 1e-12].tolist()
-
-        return partners
-
-    return of
+    def link(texts: list[str], i: np.ndarray, j: np.ndarray, groups: Groups) -> Checks:
+        bags: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, some in text_runs(texts, 1 << 19):
+            words = Words(some)
+            bags += [multiset(words.hashes[a:b]) for a, b in zip(words.edges, words.edges[1:])]
+        total = np.array([w.sum() for _, w in bags])
+        close = np.minimum(total[i], total[j]) >= (similarity - 1e-12) * np.maximum(total[i], total[j])
+        i, j = i[close], j[close]
+        edges = np.concatenate([[0], np.flatnonzero(i[1:] != i[:-1]) + 1, [len(i)]]).tolist() if len(i) else [0]
+        for a, b in zip(edges, edges[1:]):  # pairs come sorted by i
+            one, others = int(i[a]), j[a:b]
+            others = others[groups.label[others] != groups.label[one]]
+            if len(others):
+                shingle, weight = bags[one]
+                sizes = np.array([len(bags[k][0]) for k in others])
+                theirs, times = (np.concatenate([bags[k][x] for k in others]) for x in range(2))
+                at = np.minimum(np.searchsorted(shingle, theirs), len(shingle) - 1)
+                common = np.where(shingle[at] == theirs, np.minimum(weight[at], times), 0)
+                shared = np.add.reduceat(common, np.cumsum(sizes) - sizes)
+                for k in others[shared / (total[others] + total[one] - shared) >= similarity - 1e-12].tolist():
+                    groups.join(one, k)
+        yield from ()
+
+    return link
 
 
 SIGNED = "doc_id long, digest binary, n long, bands array<long>"
@@ -167,8 +167,8 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
             texts = docs.select("doc_id", "text", text_digest().alias("digest")).join(named.withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("_digest")))
             return texts.groupBy("id").agg(F.max("text").alias("text"))
 
-        members = nodes.where("n > 0").select("id", (6 * F.col("n")).alias("weight"), F.explode("bands").alias("bucket"))
-        groups = bucket_groups(members, payload, partners_of(similarity))
+        members = nodes.where("n > 0").select("id", F.explode("bands").alias("bucket"))
+        groups = bucket_groups(members, payload, linker(similarity))
         placed = nodes.select("id", "digest", "first", "copies").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         placed = shelf.put(placed, "placed", compression="zstd")
         best = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("best"), F.sum("copies").alias("class_rows"))
