@@ -55,16 +55,23 @@ def split_long(s: Column, limit: int) -> Column:
     return at(s, "; ", ";", comma)
 
 
-def paragraph_chunks(c: Column, limit: int = LIMIT) -> Column:
-    """A paragraph as an array of lines of at most limit characters, no sentence broken without need."""
-    long = F.exists(sentences(c), lambda s: F.length(s) > limit)
-    pieces = F.when(long, F.flatten(F.transform(sentences(c), lambda s: split_long(s, limit)))).otherwise(sentences(c))
-    lines = pack(pieces, limit)
-    return F.when(F.length(c) <= limit, F.filter(F.array(F.array_join(sentences(c), " ")), lambda s: F.length(s) > 0)).otherwise(lines)
+def packed_sentences(said: Column, n_chars: Column, limit: int = LIMIT) -> Column:
+    """The sentences of a paragraph of n_chars as lines of at most limit characters, none broken without need."""
+    long = F.exists(said, lambda s: F.length(s) > limit)
+    pieces = F.when(long, F.flatten(F.transform(said, lambda s: split_long(s, limit)))).otherwise(said)
+    whole = F.filter(F.array(F.array_join(said, " ")), lambda s: F.length(s) > 0)
+    return F.when(n_chars <= limit, whole).otherwise(pack(pieces, limit))
+
+
+def sample_chunk(text: Column, least: int = 200, limit: int = 600) -> Column:
+    """The first chunk of the first line of text that is long enough for a sample; null if none is."""
+    paragraph = F.get(F.filter(F.split(text, "\n", -1), lambda x: F.length(x) >= least), F.lit(0))
+    return F.get(F.filter(packed_sentences(sentences(paragraph), F.length(paragraph), limit), T.is_speakable), F.lit(0))
 
 
 def announced(blocks: DataFrame) -> DataFrame:
-    """doc_blocks with each chapter's title in front, unless its first block is that heading."""
+    """(book_id, chapter_idx, block_idx, text) of doc_blocks (with chapter_title and kind), each chapter's title in
+    front at block_idx -1, unless its first block is that heading."""
     first = F.min_by(F.struct("kind", "text"), "block_idx")
     chapters = blocks.groupBy("book_id", "chapter_idx").agg(F.min("chapter_title").alias("text"), first.alias("_first"))
     missing = chapters.where((F.length("text") > 0) & ~((F.col("_first.kind") == "heading") & (F.col("_first.text") == F.col("text"))))
@@ -75,11 +82,15 @@ def announced(blocks: DataFrame) -> DataFrame:
 def chunks(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Chunks of texts (book_id, chapter_idx, block_idx, text): piece_idx, text and pause_after.
 
-    Pauses are set before pieces without letters or digits fall out; texts without any are no paragraphs.
+    Texts that name their chapter (chapter_title, kind) have titles announced first. Pauses are set before pieces
+    without letters or digits fall out; texts without any are no paragraphs.
     """
+    if {"chapter_title", "kind"} <= set(texts.columns):
+        texts = announced(texts)
     spoken = texts.where(T.is_speakable(F.col("text")))
     last = F.lead("block_idx").over(Window.partitionBy("book_id", "chapter_idx").orderBy("block_idx")).isNull()
-    cut = spoken.withColumn("_last", last).withColumn("_pieces", paragraph_chunks(F.col("text"), limit))
+    said = spoken.select("book_id", "chapter_idx", "block_idx", last.alias("_last"), F.length("text").alias("_chars"), sentences(F.col("text")).alias("_said"))
+    cut = said.withColumn("_pieces", packed_sentences(F.col("_said"), F.col("_chars"), limit))
     rows = cut.select("book_id", "chapter_idx", "block_idx", "_last", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("piece_idx", "text"))
     pause = F.when(F.col("piece_idx") < F.col("_n") - 1, INSIDE).when(F.col("_last"), AFTER_CHAPTER).otherwise(BETWEEN)
     return rows.withColumn("pause_after", pause).where(T.is_speakable(F.col("text"))).drop("_last", "_n")

@@ -42,3 +42,32 @@ def changes(events: DataFrame, key: str, order: list[str], payload: Column) -> D
     """The events whose payload differs from the one before of the same key."""
     before = F.lag("_payload").over(Window.partitionBy(key).orderBy(*order))
     return events.withColumn("_payload", payload).withColumn("_before", before).where(~F.col("_payload").eqNullSafe(F.col("_before"))).drop("_payload", "_before")
+
+
+#: What each kind of request writes into the job's row, beside its own fields; null leaves a field as it was.
+REQUEST_STATES = {"create": "uploaded", "fail": "failed", "finish": "done", "cancel": "cancelled"}
+FIELDS = ("state", "title", "stage", "done", "total", "error", "result", "review", "options")
+
+
+def requested_events(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """The events that requests (job_id, request_seq, kind and fields of FIELDS) append to a log (job_id, event_seq, state).
+
+    kind: create, set_state, progress, title, fail, finish, cancel, review, options, delete. Numbers go on where the
+    job's log ends. A move of state takes the old error away. Whether a move is legal is for moves() to say.
+    """
+    ends = log.groupBy("job_id").agg(F.max("event_seq").alias("_last"))
+    by_kind = F.create_map(*(F.lit(x) for pair in REQUEST_STATES.items() for x in pair))
+    state = F.coalesce(by_kind[F.col("kind")], F.when(F.col("kind") == "set_state", F.col("state")))
+    has = set(requests.columns)
+    fields = {c: F.col(c) if c in has else F.lit(None).cast("string") for c in FIELDS if c != "state"}
+    fields["error"] = F.when(F.col("kind") == "fail", fields["error"]).when(state.isNotNull(), F.lit(""))
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("request_seq"))
+    numbered = requests.join(ends, "job_id", "left").withColumn("event_seq", F.coalesce("_last", F.lit(0)).cast("long") + number)
+    return numbered.select("job_id", "event_seq", "kind", state.alias("state"), *(v.alias(k) for k, v in fields.items()))
+
+
+def job_rows(events: DataFrame) -> DataFrame:
+    """The row of each job that requested_events leave: the last value of each field; deleted jobs are gone."""
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("event_seq"))).alias(c) for c in events.columns if c in FIELDS]
+    found = events.groupBy("job_id").agg(*last, F.max("event_seq").alias("event_seq"), F.max_by("kind", "event_seq").alias("_kind"))
+    return found.where("_kind <> 'delete'").drop("_kind")

@@ -84,7 +84,7 @@ def tag_dropped(blocks: DataFrame, pages: DataFrame, only: tuple[str, ...] = RUL
     df = with_pages(blocks, pages).withColumn("dropped_by", F.lit(None).cast("string"))
     df = df.withColumn("_form", F.when(in_edge_band(), T.matching_form(F.col("text"))))
     forms = Window.partitionBy("book_id", "_form")
-    df = df.withColumn("_form_pages", F.when(F.col("_form").isNotNull(), F.size(F.collect_set("page").over(forms))).otherwise(0))
+    df = df.withColumn("_form_pages", F.size(F.collect_set(F.when(F.col("_form").isNotNull(), F.col("page"))).over(forms)))
     columns = rules()
     for name in only:
         df = guarded(df, name, columns[name])
@@ -113,20 +113,17 @@ def reading_order(df: DataFrame) -> DataFrame:
     return df.withColumn("order_no", F.row_number().over(by))
 
 
-def merge_continuations(df: DataFrame) -> DataFrame:
-    """Paragraphs of each book: (book_id, block_no, text, page, font_size).
+def _runs(df: DataFrame, *more: Column) -> DataFrame:
+    """(book_id, _run, _merged, more) of blocks in reading order; rows with _gone count in more only.
 
-    A block joins the one before if that is open (no terminal mark), the fonts agree with the first block
-    of the paragraph and the text stays short enough. After a block with a terminal mark a new paragraph
-    begins whatever came before, so a book falls into runs between such marks; only inside a run does what
-    came before decide, by a fold over its few blocks.
+    _merged: the paragraphs of a run, as merge_continuations says.
     """
     item = "struct<text:string,page:int,font:double>"
-    w = Window.partitionBy("book_id").orderBy("page", "order_no")
+    w = Window.partitionBy("book_id").orderBy("_gone", "page", "order_no")
     ended = F.lag(~T.is_open(F.col("text"))).over(w)
     df = df.withColumn("_ended", F.coalesce(ended, F.lit(False)).cast("int")).withColumn("_run", F.sum("_ended").over(w))
-    ordered = F.array_sort(F.collect_list(F.struct("page", "order_no", "text", F.col("font_size").cast("double").alias("font"))))
-    books = df.groupBy("book_id", "_run").agg(ordered.alias("_blocks"))
+    block = F.struct("page", "order_no", "text", F.col("font_size").cast("double").alias("font"))
+    books = df.groupBy("book_id", "_run").agg(F.array_sort(F.collect_list(F.when(~F.col("_gone"), block))).alias("_blocks"), *more)
     open_ = f"not regexp_like(a.cur.text, '{T.TERMINAL_CLASS}(?U)[\\\\s\\\\x1c-\\\\x1f]*$')"
     fold = f"""aggregate(_blocks,
       struct(cast(array() as array<{item}>) as done, cast(null as {item}) as cur),
@@ -136,7 +133,18 @@ def merge_continuations(df: DataFrame) -> DataFrame:
           struct(a.done as done, struct(concat(a.cur.text, ' ', b.text) as text, a.cur.page as page, a.cur.font as font) as cur),
           struct(concat(a.done, array(a.cur)) as done, struct(b.text as text, b.page as page, b.font as font) as cur))),
       a -> if(a.cur is null, a.done, concat(a.done, array(a.cur))))"""
-    merged = books.select("book_id", "_run", F.posexplode(F.expr(fold)).alias("_k", "b"))
+    return books.withColumn("_merged", F.expr(fold)).drop("_blocks")
+
+
+def merge_continuations(df: DataFrame) -> DataFrame:
+    """Paragraphs of each book: (book_id, block_no, text, page, font_size).
+
+    A block joins the one before if that is open (no terminal mark), the fonts agree with the first block
+    of the paragraph and the text stays short enough. After a block with a terminal mark a new paragraph
+    begins whatever came before, so a book falls into runs between such marks; only inside a run does what
+    came before decide, by a fold over its few blocks.
+    """
+    merged = _runs(df.withColumn("_gone", F.lit(False))).select("book_id", "_run", F.posexplode("_merged").alias("_k", "b"))
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("_run", "_k")) - 1
     return merged.select("book_id", number.alias("block_no"), F.col("b.text").alias("text"), F.col("b.page").alias("page"), F.col("b.font").alias("font_size"))
 
@@ -149,12 +157,18 @@ def cleaned_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def clean_report(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row a book: a count for each rule, kept, chars_before, chars_after and summary."""
-    tagged = tag_dropped(blocks, pages)
-    counts = tagged.groupBy("book_id").agg(*(F.count(F.when(F.col("dropped_by") == r, 1)).alias(r) for r in RULES), F.sum(F.length("text")).alias("chars_before"))
-    merged = merge_continuations(reading_order(tagged.where("dropped_by is null"))).withColumn("text", T.clean_text(F.col("text"))).where(F.length("text") > 0)
-    after = merged.groupBy("book_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("text")).alias("chars_after"))
-    both = counts.join(after, "book_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kept", "chars_after")})
+    """One row a book: a count for each rule, kept, chars_before, chars_after and summary.
+
+    Blocks that rules drop stay in the rows, without a place on the page, so one pass counts them and puts the
+    others together.
+    """
+    gone = F.col("dropped_by").isNotNull()
+    tagged = tag_dropped(blocks, pages).withColumn("_gone", gone).withColumns({c: F.when(~gone, F.col(c)) for c in ("x0", "x1")})
+    counts = [F.count(F.when(F.col("dropped_by") == r, 1)).alias(r) for r in RULES]
+    runs = _runs(reading_order(tagged), *counts, F.sum(F.length("text")).alias("chars_before"))
+    chars = F.filter(F.transform("_merged", lambda b: F.length(T.clean_text(b["text"]))), lambda n: n > 0)
+    runs = runs.withColumn("_chars", chars).withColumn("kept", F.size("_chars")).withColumn("chars_after", F.aggregate("_chars", F.lit(0).cast("long"), lambda a, n: a + n))
+    both = runs.groupBy("book_id").agg(*(F.sum(c).alias(c) for c in (*RULES, "chars_before", "kept", "chars_after")))
     said = F.array_join(F.filter(F.array(*(F.when(F.col(r) > 0, F.concat(F.lit(RULE_LABELS[r] + " "), F.col(r).cast("string"))) for r in RULES)), lambda x: x.isNotNull()), ", ")
     loss = F.format_string("%.1f%%", (1 - F.col("chars_after") / F.nullif(F.col("chars_before"), F.lit(0))) * 100)
     tail = F.when(F.length(said) > 0, F.concat(F.lit(": "), said)).otherwise("")
@@ -167,3 +181,9 @@ def text_layer(blocks: DataFrame, pages: DataFrame, least: int = 100) -> DataFra
     sizes = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))
     per = F.coalesce("chars", F.lit(0)) / F.greatest(F.lit(1), F.col("n_pages"))
     return sizes.join(chars, "book_id", "left").select("book_id", "n_pages", per.alias("chars_per_page"), (per >= least).alias("has_text_layer"))
+
+
+def text_problems(layer: DataFrame, report: DataFrame) -> DataFrame:
+    """book_id and problem of text_layer and clean_report rows: no text layer, nothing left after cleaning, or null."""
+    said = F.when(~F.col("has_text_layer"), F.format_string("no text layer (%.0f characters per page)", F.bround("chars_per_page", 0))).when(F.coalesce("kept", F.lit(0)) == 0, F.lit("no text was left after cleaning"))
+    return layer.join(report.select("book_id", "kept"), "book_id", "left").select("book_id", said.alias("problem"))

@@ -26,6 +26,46 @@ def engines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENGINES, "engine string, version string, sample_rate int, realtime double, max_chars int")
 
 
+def engine_of(requests: DataFrame) -> DataFrame:
+    """requests (language) with the engine that speaks it, its newest version and limits; null where none does."""
+    spark = requests.sparkSession
+    speakers = spark.createDataFrame(list(LANGUAGE_ENGINES.items()), "language string, engine string")
+    first = engines(spark).withColumn("_k", F.monotonically_increasing_id()).groupBy("engine").agg(F.min_by(F.struct("version", "sample_rate", "realtime", "max_chars"), "_k").alias("_e"))
+    return requests.join(F.broadcast(speakers.join(first, "engine").select("language", "engine", "_e.*")), "language", "left")
+
+
+def missing_items(wanted: Column, present: Column) -> Column:
+    """What of an array of wanted tools or columns is not there, in order."""
+    return F.array_sort(F.array_except(wanted, present))
+
+
+def labelled_voices(voices: DataFrame) -> DataFrame:
+    """voices (language, engine, voice_idx, id) with label: language and a running number in it, as en_01."""
+    number = F.row_number().over(Window.partitionBy("language").orderBy("engine", "voice_idx"))
+    return voices.withColumn("label", F.concat(F.col("language"), F.lit("_"), F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))))
+
+
+def trial_plan(voices: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every labelled voice with every sample text (language, text) of its language: the work list of a comparison."""
+    return labelled_voices(voices).join(texts, "language").select("label", "language", "engine", "id", "text")
+
+
+def progress_of(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """chunks with done (1 to total, in order) and total of their job."""
+    return chunks.withColumn("done", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
+
+
+def destination(explicit: Column, default: Column) -> Column:
+    """Where a finished book is copied to: the explicit folder, else a default that is not blank, else nowhere (null)."""
+    return F.coalesce(explicit, F.nullif(T.strip(default), F.lit("")))
+
+
+def write_report(report: DataFrame, folder: str) -> None:
+    """A report as JSON lines, nulls included; nothing is written for an empty one."""
+    if not report.isEmpty():
+        report.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
 def voice_gender(voice: Column, engine: Column) -> Column:
     """By table; one engine writes the gender into the second letter of its ids; else unknown."""
     table = F.create_map(*(F.lit(x) for pair in GENDERS.items() for x in pair))
@@ -81,14 +121,22 @@ class StubEngine:
     def seconds(self, text: str) -> float:
         return (self.sample_rate * len(text) // T.CHARS_PER_SECOND) / self.sample_rate
 
+    @staticmethod
+    def seconds_column(text: Column) -> Column:
+        """The same for a column: an engine that has this can't fail and stays in the JVM."""
+        return T.speech_seconds(F.length(text))
+
 
 def synthesize(work: DataFrame, make_engine: Callable[[], object] = StubEngine) -> DataFrame:
     """work (key, text) with seconds and status ('done' or 'failed').
 
-    An engine is made once in each task. A chunk is tried ATTEMPTS times; then silence of the length that
+    An engine that can speak columns does. Others are made once in each task; a chunk is tried ATTEMPTS times; then silence of the length that
     its text would take stands for it.
     """
 
+    if "seconds_column" in getattr(make_engine, "__dict__", ()):
+        return work.select("key", "text", make_engine.seconds_column(F.col("text")).alias("seconds"), F.lit("done").alias("status"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = None
         for batch in batches:

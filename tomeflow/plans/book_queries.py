@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chapters as C
@@ -10,8 +10,8 @@ from ..operators import chunking as K
 from ..operators import layout as L
 from ..operators import review as R
 from ..operators import synthesis as S
-from ..sources.layout import synthetic_layout
-from .text_queries import table
+from ..sources.layout import cut_pages, from_lines, range_problems, synthetic_layout
+from .text_queries import SQUEEZE, WS, cleaned_sql, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,17 +97,35 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_id", *(F.col(c).cast("long").alias(c) for c in ("page", "seq", "n_columns", "order_no")))
 
 
-@query(None)
+_MERGED_SQL = f"""{_layout_sql()}{_rules_sql()}, books AS (SELECT book_id, list([{{'text': text, 'page': page::BIGINT, 'font': font::DOUBLE}}] ORDER BY page, round_even(y0, 1), x0, seq) AS items FROM s6 WHERE dropped_by IS NULL GROUP BY book_id),
+folded AS (SELECT book_id, list_reduce(items, lambda a, b: CASE WHEN NOT regexp_matches(a[-1].text, '[.!?…:;»"”’]{WS}*$') AND abs(a[-1].font - b[1].font) <= 0.6::DOUBLE AND length(a[-1].text) + 1 + length(b[1].text) <= 5000
+  THEN a[1 : len(a) - 1] || [{{'text': a[-1].text || ' ' || b[1].text, 'page': a[-1].page, 'font': a[-1].font}}] ELSE a || b END) AS paragraphs FROM books),
+merged AS (SELECT book_id, block_no, {cleaned_sql("p.text")} AS text, p.page AS page, p.font AS font_size FROM (SELECT book_id, unnest(paragraphs) AS p, unnest(range(len(paragraphs))) AS block_no FROM folded))"""
+
+
+@query(f"{_MERGED_SQL} SELECT * FROM merged WHERE length(text) > 0")
 def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.cleaned_blocks(*_layout(spark, sf_dir))
+    found = L.cleaned_blocks(*_layout(spark, sf_dir))
+    return found.select("book_id", F.col("block_no").cast("long").alias("block_no"), "text", F.col("page").cast("long").alias("page"), "font_size")
 
 
-@query(None)
+_COUNTS_SQL = ", ".join(f"count(*) FILTER (dropped_by = '{r}') AS {r}" for r in L.RULES)
+_SAID_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {r} > 0 THEN '{L.RULE_LABELS[r]} ' || {r} END" for r in L.RULES) + "], lambda x: x IS NOT NULL), ', ')"
+
+
+@query(f"""{_MERGED_SQL}, by_rule AS (SELECT book_id, {_COUNTS_SQL}, sum(length(text))::BIGINT AS chars_before FROM s6 GROUP BY book_id),
+after AS (SELECT book_id, count(*) AS kept, sum(length(text))::BIGINT AS chars_after FROM merged WHERE length(text) > 0 GROUP BY book_id),
+joined AS (SELECT by_rule.*, coalesce(kept, 0) AS kept, coalesce(chars_after, 0) AS chars_after, {_SAID_SQL} AS said FROM by_rule LEFT JOIN after USING (book_id))
+SELECT * EXCLUDE (said), CASE WHEN chars_before = 0 THEN 'nothing to clean' ELSE 'cleaning removed ' || format('{{:.1f}}%', (1 - chars_after / chars_before) * 100) || ' of the characters' || CASE WHEN length(said) > 0 THEN ': ' || said ELSE '' END END AS summary FROM joined""")
 def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.clean_report(*_layout(spark, sf_dir))
 
 
-@query(f"""{_layout_sql()}, body_blocks AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, seq) - 1 AS block_no FROM raw_blocks WHERE seq < 4),
+def _numbered(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("block_no", F.row_number().over(Window.partitionBy("book_id").orderBy("page", "seq")) - 1)
+
+
+@query(f"""{_layout_sql()}, body_blocks AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, seq) - 1 AS block_no FROM raw_blocks),
 bw AS (SELECT book_id, font, sum(length(text)) AS w FROM body_blocks GROUP BY ALL),
 br AS (SELECT book_id, font, sum(w) OVER (PARTITION BY book_id ORDER BY font) AS hi, sum(w) OVER (PARTITION BY book_id ORDER BY font) - w AS lo, sum(w) OVER (PARTITION BY book_id) AS n FROM bw),
 bm AS (SELECT book_id, avg(font)::DOUBLE AS m FROM (SELECT book_id, font FROM br WHERE lo < (n + 1) // 2 AND hi >= (n + 1) // 2 UNION ALL SELECT book_id, font FROM br WHERE lo < n // 2 + 1 AND hi >= n // 2 + 1) GROUP BY book_id),
@@ -116,11 +134,7 @@ runs AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY book_id ORDER BY bl
 SELECT book_id, block_no, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS kind, run - min(run) OVER (PARTITION BY book_id) AS chapter_idx,
   coalesce(max(CASE WHEN head THEN text END) OVER (PARTITION BY book_id, run), 'Untitled') AS chapter_title FROM runs""")
 def font_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _layout(spark, sf_dir)[0].where("seq < 4")
-    from pyspark.sql import Window
-
-    numbered = blocks.withColumn("block_no", F.row_number().over(Window.partitionBy("book_id").orderBy("page", "seq")) - 1)
-    found = C.by_font(numbered)
+    found = C.by_font(_numbered(_layout(spark, sf_dir)[0]))
     return found.select("book_id", F.col("block_no").cast("long").alias("block_no"), "kind", F.col("chapter_idx").cast("long").alias("chapter_idx"), "chapter_title")
 
 
@@ -134,13 +148,60 @@ def chapters_at_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_id", "block_no", "kind", F.col("chapter_idx").cast("long").alias("chapter_idx"), "chapter_title")
 
 
-@query(None)
+@query(f"""{_layout_sql()}, numbered AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, seq) - 1 AS block_no FROM raw_blocks),
+toc AS (SELECT book_id, page, text AS title, trim({cleaned_sql("text")}) AS key FROM raw_blocks WHERE seq = 0),
+marks AS (SELECT book_id, title, coalesce(min(block_no) FILTER (trim(text) = key), min(block_no)) AS block_no, count(*) FILTER (trim(text) = key) > 0 AS exact FROM numbered JOIN toc USING (book_id, page) GROUP BY book_id, page, title, key)
+SELECT book_id, block_no, page::BIGINT AS page, text, CASE WHEN coalesce(exact, false) THEN 'heading' ELSE 'paragraph' END AS kind, count(title) OVER w - 1 AS chapter_idx, last_value(title IGNORE NULLS) OVER w AS chapter_title
+  FROM numbered LEFT JOIN marks USING (book_id, block_no) WINDOW w AS (PARTITION BY book_id ORDER BY block_no)""")
 def bookmark_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    """Chapters cut at a bookmark for each page, whose title is the page's first line."""
+    blocks = _numbered(_layout(spark, sf_dir)[0])
+    toc = blocks.where("seq = 0").select("book_id", F.col("page").alias("toc_idx"), F.col("text").alias("title"), "page")
+    found = C.cut_at_marks(blocks.select("book_id", "block_no", "text", "page"), C.bookmark_marks(blocks, toc))
+    return found.select("book_id", *(F.col(c).cast("long").alias(c) for c in ("block_no", "page", "chapter_idx")), "text", "kind", "chapter_title")
+
 
-    blocks = _layout(spark, sf_dir)[0].where("seq < 4").withColumn("block_no", F.row_number().over(Window.partitionBy("book_id").orderBy("page", "seq")) - 1)
+@query(f"{_layout_sql()} SELECT book_id, (page - 1)::BIGINT AS page, text AS title, n_pages, n_pages < 3 AS short FROM raw_blocks WHERE seq = 0 AND page BETWEEN 2 AND 3")
+def clipped_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks of pages 2 to 3, numbered as the clipping is, and whether the book is too short for it."""
+    blocks, pages = _layout(spark, sf_dir)
     toc = blocks.where("seq = 0").select("book_id", F.col("page").alias("toc_idx"), F.col("text").alias("title"), "page")
-    return C.cut_at_marks(blocks.select("book_id", "block_no", "text", "page"), C.bookmark_marks(blocks, toc))
+    cut = cut_pages(blocks, pages, toc, 2, 3)[2]
+    return cut.join(range_problems(pages, 3), "book_id").select("book_id", F.col("page").cast("long").alias("page"), "title", "n_pages", F.col("problem").isNotNull().alias("short"))
+
+
+_SPANS = "list_transform(string_split(l, ','), lambda x: {'text': x, 'size': 10.0 + length(x) % 5, 'flags': 8 * (length(x) % 2)})"
+
+
+@query(f"""SELECT doc_id AS book_id, {SQUEEZE.format("replace(replace(text, ',', ''), chr(10), ' ')")} AS text, list_max(list_transform(pieces, lambda x: 10 + length(x) % 5))::DOUBLE AS font_size, len(list_filter(pieces, lambda x: length(x) % 2 = 0)) = 0 AS is_mono
+  FROM (SELECT doc_id, text, flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, ','))) AS pieces FROM documents) WHERE length({SQUEEZE.format("replace(replace(text, ',', ''), chr(10), ' ')")}) > 0""")
+def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, font size and monospace of blocks that hold lines of spans."""
+    span = lambda x: F.struct(x.alias("text"), (F.lit(10.0) + F.length(x) % 5).alias("size"), (F.length(x) % 2 * 8).alias("flags"))
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.struct(F.transform(F.split(line, ",", -1), span).alias("spans")))
+    return from_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), lines.alias("lines")))
+
+
+@query("""SELECT book_id, block_no, document, text FROM (SELECT source AS book_id, doc_id AS document, place AS block_no, CASE WHEN place = 0 AND doc_id % 5 = 0 THEN (doc_id % 500)::VARCHAR ELSE l END AS text
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)) WHERE document % 2 = 0 OR document % 5 <> 0""")
+def endnotes_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents outside the contents that begin with a bare number are left out."""
+    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n", -1)).alias("block_no", "l"))
+    pieces = lines.select("book_id", "document", F.col("block_no").cast("long").alias("block_no"), F.when((F.col("block_no") == 0) & (F.col("document") % 5 == 0), (F.col("document") % 500).cast("string")).otherwise(F.col("l")).alias("text"))
+    toc = pieces.where("document % 2 = 0").select("book_id", "document")
+    return C.without_endnotes(pieces, toc).select("book_id", "block_no", "document", "text")
+
+
+@query("""SELECT conv_id AS book_id, turn AS block_no, count(*) FILTER (mark) OVER w - min(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 0 - 1 AS chapter_idx
+  FROM (SELECT conv_id, turn, (turn // 4 % 2 = 0 AND turn % 4 = 0) OR (turn // 4 % 2 = 1 AND turn % 4 = 2) AS mark FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def anchored_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of documents of four turns: even ones are listed whole, odd ones by an anchor inside."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("block_no"), F.floor(F.col("turn") / 4).cast("string").alias("document"), F.array(F.concat(F.lit("a"), F.col("turn").cast("string"))).alias("anchors"), "text")
+    k = F.floor(F.col("block_no") / 4)
+    anchor = F.when(k % 2 == 1, F.concat(F.lit("a"), (4 * k + 2).cast("string")))
+    toc = turns.where("block_no % 4 = 0").select("book_id", k.cast("int").alias("toc_idx"), F.concat(F.lit("part "), "document").alias("title"), "document", anchor.alias("anchor"))
+    found = C.cut_at_marks(turns.select("book_id", "block_no", "text"), C.anchor_marks(turns, toc))
+    return found.select("book_id", "block_no", F.col("chapter_idx").cast("long").alias("chapter_idx"))
 
 
 @query("SELECT conv_id AS book_id, text, CASE turn WHEN 2 THEN 0 WHEN 0 THEN 1 END::BIGINT AS chapter_idx FROM conversations WHERE turn IN (0, 2)")
@@ -153,18 +214,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_idx"), F.posexplode(F.split("text", "\n", -1)).alias("block_idx", "text"))
 
 
-def _pack_sql(pieces: str) -> str:
-    """Greedy packing of a non-empty list to 800 characters, lines divided by chr(30)."""
-    return f"string_split(list_reduce({pieces}, lambda a, x: CASE WHEN length(split_part(a, chr(30), -1)) = 0 THEN a || x WHEN length(split_part(a, chr(30), -1)) + 1 + length(x) > 800 THEN a || chr(30) || x ELSE a || ' ' || x END), chr(30))"
+def _pack_sql(pieces: str, limit: int = 800) -> str:
+    """Greedy packing of a non-empty list to limit characters, lines divided by chr(30)."""
+    return f"string_split(list_reduce({pieces}, lambda a, x: CASE WHEN length(split_part(a, chr(30), -1)) = 0 THEN a || x WHEN length(split_part(a, chr(30), -1)) + 1 + length(x) > {limit} THEN a || chr(30) || x ELSE a || ' ' || x END), chr(30))"
 
 
-def _split_sql(s: str, depth: int = 0) -> str:
+def _split_sql(s: str, depth: int = 0, limit: int = 800) -> str:
     separator, mark = (("; ", ";"), (", ", ","), (" ", ""))[depth] if depth < 3 else ("", "")
     if depth == 3:
-        return f"list_transform(range(0, greatest(length({s}), 1), 800), lambda i{depth}: substring({s}, i{depth} + 1, 800))"
-    further = _split_sql(f"y{depth}", depth + 1)
+        return f"list_transform(range(0, greatest(length({s}), 1), {limit}), lambda i{depth}: substring({s}, i{depth} + 1, {limit}))"
+    further = _split_sql(f"y{depth}", depth + 1, limit)
     parts = f"list_transform(string_split({s}, '{separator}'), lambda p{depth}, k{depth}: CASE WHEN k{depth} < len(string_split({s}, '{separator}')) THEN p{depth} || '{mark}' ELSE p{depth} END)"
-    return f"CASE WHEN length({s}) <= 800 THEN [{s}] WHEN contains({s}, '{separator}') THEN flatten(list_transform({_pack_sql(parts)}, lambda y{depth}: {further})) ELSE {_split_sql(s, depth + 1)} END"
+    return f"CASE WHEN length({s}) <= {limit} THEN [{s}] WHEN contains({s}, '{separator}') THEN flatten(list_transform({_pack_sql(parts, limit)}, lambda y{depth}: {further})) ELSE {_split_sql(s, depth + 1, limit)} END"
 
 
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])[\\s\\x{00a0}]+', '\\1' || chr(31), 'g'), chr(31)), lambda z: trim(z)), lambda z: length(z) > 0)"
@@ -190,6 +251,35 @@ def speech_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("synth_minutes", F.bround(F.col("_chars") / 15 / 60 / S.StubEngine.realtime, 1)).drop("_chars")
 
 
+@query(f"""WITH p AS (SELECT doc_id, text, {_SENTENCES} AS s FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 200)[1] AS text FROM documents) WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, CASE WHEN length(text) <= 600 THEN [array_to_string(s, ' ')] ELSE {_pack_sql(f"flatten(list_transform(s, lambda q: {_split_sql('q', 0, 600)}))", 600)} END AS pieces FROM p)
+SELECT doc_id, list_filter(pieces, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))[1] AS text FROM cut WHERE list_filter(pieces, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))[1] IS NOT NULL""")
+def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunk of each document's first long paragraph."""
+    return table(spark, sf_dir, "documents").select("doc_id", K.sample_chunk(F.col("text")).alias("text")).where("text is not null")
+
+
+@query(f"{_CHUNKS_SQL} SELECT book_id, block_idx, piece_idx, row_number() OVER (PARTITION BY book_id ORDER BY block_idx, piece_idx) AS done, count(*) OVER (PARTITION BY book_id) AS total FROM chunks")
+def chunk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.progress_of(K.chunks(_texts(table(spark, sf_dir, "documents"))), "book_id", ["block_idx", "piece_idx"])
+    return found.select("book_id", *(F.col(c).cast("long").alias(c) for c in ("block_idx", "piece_idx", "done", "total")))
+
+
+_ANNOUNCED_SQL = _CHUNKS_SQL.replace("""SELECT doc_id AS book_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS block_idx FROM documents)""", """SELECT book_id, chapter_idx, block_idx, text FROM blocks UNION ALL
+  SELECT book_id, chapter_idx, -1, any_value(chapter_title) FROM blocks GROUP BY book_id, chapter_idx HAVING NOT bool_or(block_idx = 0 AND kind = 'heading' AND text = chapter_title))""").replace("WITH t AS", """WITH blocks AS (SELECT conv_id AS book_id, turn AS chapter_idx, CASE WHEN turn % 2 = 0 THEN string_split(text, chr(10))[1] ELSE 'Turn ' || turn END AS chapter_title, CASE WHEN k = 0 THEN 'heading' ELSE 'paragraph' END AS kind, k AS block_idx, l AS text
+  FROM (SELECT *, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS k FROM conversations)), t AS""").replace("PARTITION BY book_id ORDER BY block_idx", "PARTITION BY book_id, chapter_idx ORDER BY block_idx").replace("SELECT book_id, block_idx", "SELECT book_id, chapter_idx, block_idx")
+
+
+@query(f"{_ANNOUNCED_SQL} SELECT * FROM chunks")
+def announced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of chapters whose titles are read out first, unless the first block is the title."""
+    turns = table(spark, sf_dir, "conversations")
+    title = F.when(F.col("turn") % 2 == 0, F.get(F.split("text", "\n", -1), F.lit(0))).otherwise(F.concat(F.lit("Turn "), F.col("turn").cast("string")))
+    blocks = turns.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chapter_idx"), title.alias("chapter_title"), F.posexplode(F.split("text", "\n", -1)).alias("block_idx", "text"))
+    found = K.chunks(blocks.withColumn("kind", F.when(F.col("block_idx") == 0, "heading").otherwise("paragraph")))
+    return found.select("book_id", *(F.col(c).cast("long").alias(c) for c in ("chapter_idx", "block_idx", "piece_idx")), "text", "pause_after")
+
+
 _TURNS = "SELECT conv_id AS book_id, turn AS chapter_idx, left(text, 40) AS title, floor(24000 * length(text) / 15) / 24000 + 1.5 AS seconds FROM conversations"
 _TIMES = f"SELECT *, sum(round_even(seconds * 1000, 0)::BIGINT) OVER (PARTITION BY book_id ORDER BY chapter_idx)::BIGINT AS end_ms, round_even(seconds * 1000, 0)::BIGINT AS ms FROM ({_TURNS})"
 

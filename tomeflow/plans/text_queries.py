@@ -10,6 +10,7 @@ from ..functions.translit import spelled_acronym
 from ..operators import chapters as C
 from ..operators import review as R
 from ..operators import synthesis as S
+from ..sources import intake as I
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,6 +182,63 @@ def voices_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pick_voice(jobs, voices).select("doc_id", "chosen")
 
 
+@query("""SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'ru' END AS language, CASE WHEN lang = 'en' THEN 'kokoro' ELSE 'silero' END AS engine, CASE WHEN lang = 'en' THEN 800 ELSE 900 END::INTEGER AS max_chars,
+  CASE WHEN lang = 'en' THEN 5.8 ELSE 32.0 END::DOUBLE AS realtime FROM documents""")
+def engines_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "documents").select("doc_id", T.resolved_language(F.lit(None).cast("string"), F.col("lang")).alias("language"))
+    return S.engine_of(asked).select("doc_id", "language", "engine", "max_chars", "realtime")
+
+
+_REQUESTS = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'notes' ELSE repeat('b', (doc_id % 70)::BIGINT + 1) || CASE doc_id % 4 WHEN 0 THEN '.EPUB' WHEN 1 THEN '.pdf' WHEN 2 THEN '.fb2' ELSE '.txt' END END AS name, lang AS language,
+  CASE WHEN doc_id % 13 = 0 THEN 'robot' WHEN doc_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender, CASE WHEN doc_id % 5 = 0 THEN '3-1' WHEN doc_id % 3 = 0 THEN ' 2 - 7 ' ELSE ' ' END AS pages FROM documents"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    suffix = F.when(d % 4 == 0, ".EPUB").when(d % 4 == 1, ".pdf").when(d % 4 == 2, ".fb2").otherwise(".txt")
+    name = F.when(d % 11 == 0, "notes").otherwise(F.concat(F.repeat(F.lit("b"), (d % 70 + 1).cast("int")), suffix))
+    gender = F.when(d % 13 == 0, "robot").when(d % 2 == 0, "male").otherwise("female")
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.col("lang").alias("language"), gender.alias("gender"), F.when(d % 5 == 0, "3-1").when(d % 3 == 0, " 2 - 7 ").otherwise(" ").alias("pages"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN suffix NOT IN ('.epub', '.fb2', '.pdf') THEN 'format ' || suffix || ' is not supported, known are: .epub, .fb2, .pdf' WHEN language NOT IN ('ru', 'en') THEN 'language ' || language || ' is not supported'
+  WHEN gender = 'robot' THEN 'gender robot is not supported' WHEN trim(pages) <> '' AND suffix <> '.pdf' THEN suffix || ' has no pages, pick chapters after parsing' WHEN trim(pages) = '3-1' THEN 'bad page range: 3-1' END AS problem
+  FROM (SELECT *, lower(CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', 2) ELSE '' END) AS suffix FROM ({_REQUESTS}))""")
+def requests_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.validated(_requests(spark, sf_dir)).select("doc_id", "problem")
+
+
+@query(f"""SELECT doc_id, stem || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END || suffix AS stored_name FROM (SELECT *, row_number() OVER (PARTITION BY stem, suffix ORDER BY doc_id) AS k
+  FROM (SELECT doc_id, left(split_part(name, '.', 1), 60) AS stem, lower(CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', 2) ELSE '' END) AS suffix FROM ({_REQUESTS})))""")
+def names_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.stored_names(_requests(spark, sf_dir), "doc_id").select("doc_id", "stored_name")
+
+
+@query("""SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'ru' END || '_' || lpad(k::VARCHAR, 2, '0') AS label, lang AS language, engine, id, text FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY engine, voice_idx) AS k FROM
+  (VALUES ('ru', 'silero', 0, 'aidar'), ('ru', 'silero', 1, 'baya'), ('en', 'kokoro', 1, 'am_michael'), ('en', 'kokoro', 0, 'af_nova')) v(lang, engine, voice_idx, id)) JOIN
+  (SELECT lang, min(text) AS text FROM documents WHERE lang IN ('ru', 'en') GROUP BY lang) USING (lang)""")
+def voices_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voices = spark.createDataFrame([("ru", "silero", 0, "aidar"), ("ru", "silero", 1, "baya"), ("en", "kokoro", 1, "am_michael"), ("en", "kokoro", 0, "af_nova")], "language string, engine string, voice_idx int, id string")
+    texts = table(spark, sf_dir, "documents").where("lang in ('ru', 'en')").groupBy(F.col("lang").alias("language")).agg(F.min("text").alias("text"))
+    return S.trial_plan(voices, texts)
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_filter(['ffmpeg', 'ffprobe', 'espeak-ng'], lambda x: NOT (x = 'ffmpeg' AND doc_id % 2 = 0) AND NOT (x = 'espeak-ng' AND doc_id % 3 = 0))), ',') AS missing,
+  CASE WHEN doc_id % 3 = 0 THEN '/books/' || doc_id WHEN doc_id % 3 = 1 THEN '/shared' END AS destination FROM documents""")
+def tools_and_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    present = F.filter(F.array(F.when(d % 2 == 0, "ffmpeg"), F.when(d % 3 == 0, "espeak-ng")), lambda x: x.isNotNull())
+    missing = S.missing_items(F.array(F.lit("ffmpeg"), F.lit("ffprobe"), F.lit("espeak-ng")), present)
+    explicit = F.when(d % 3 == 0, F.concat(F.lit("/books/"), d.cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(missing, ",").alias("missing"), S.destination(explicit, F.when(d % 3 == 1, " /shared ").otherwise("  ")).alias("destination"))
+
+
+@query("SELECT count(*) AS failed, array_to_string(list_sort(list(left(text, 200))), chr(10)) AS chunks FROM documents WHERE doc_id % 7 = 0 HAVING count(*) > 0")
+def failures_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "documents").select("text", F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("done").alias("status"))
+    return S.failure_report(done).select("failed", F.array_join("chunks", "\n").alias("chunks"))
+
+
 _TITLE = "left(replace(text, ' ', '  '), (doc_id % 300)::BIGINT)"
 _NAME = f"trim(regexp_replace(regexp_replace({_TITLE}, '[<>:\"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g'))"
 

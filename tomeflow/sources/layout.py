@@ -1,22 +1,72 @@
-"""Laid-out pages: the block table, and a layout derived from plain documents.
+"""Laid-out pages: tables of blocks, pages, contents and books; and a layout derived from plain documents.
 
 raw_blocks: book_id, page, seq, text, font_size, x0, y0, x1, y1, is_mono; raw_pages: book_id, page, width,
-height. Pages are a table of their own, since pages without blocks count in thresholds.
+height; toc: book_id, toc_idx, title, page; books: book_id, path, title, author. Pages are a table of their own,
+since pages without blocks count in thresholds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 600.0, 800.0
 
 
-def page_selection(blocks: DataFrame, first: int, last: int) -> DataFrame:
-    """Blocks of pages first..last (from 1, inclusive); the filter reaches the scan."""
+def page_selection(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of pages first..last (from 1, inclusive); the filter reaches the scan."""
     if first < 1 or first > last:
         raise ValueError(f"bad page range: {first}-{last}")
-    return blocks.where(F.col("page").between(first, last))
+    return rows.where(F.col("page").between(first, last))
+
+
+def range_problems(pages: DataFrame, last: int) -> DataFrame:
+    """book_id, n_pages and problem (null if the book has page `last`) of each book."""
+    sizes = pages.groupBy("book_id").agg(F.max("page").cast("long").alias("n_pages"))
+    said = F.concat(F.lit(f"page {last} is past the end, the document has "), F.col("n_pages").cast("string"))
+    return sizes.withColumn("problem", F.when(F.col("n_pages") < last, said))
+
+
+def toc_of_pages(toc: DataFrame, first: int, last: int | None = None, rebased: bool = False) -> DataFrame:
+    """Entries of contents from page first on, up to page last if there is one; rebased numbers pages from first."""
+    kept = toc.where(F.col("page") >= first if last is None else F.col("page").between(first, last))
+    return kept.withColumn("page", F.col("page") - first + 1) if rebased else kept
+
+
+def cut_pages(blocks: DataFrame, pages: DataFrame, toc: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A clipping of pages first..last with page numbers and contents of its own."""
+    renumbered = [page_selection(x, first, last).withColumn("page", F.col("page") - first + 1) for x in (blocks, pages)]
+    return *renumbered, toc_of_pages(toc, first, last, rebased=True)
+
+
+def titled(books: DataFrame) -> DataFrame:
+    """books with the file's name for a missing title and null for an empty author."""
+    stem = F.regexp_extract("path", "([^/]*?)(\\.[^./]+)?$", 1)
+    return books.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), stem)).withColumn("author", F.nullif("author", F.lit("")))
+
+
+def read_layout(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(raw_blocks, raw_pages, toc, books) of a folder of Parquet tables, of pages first..last if given.
+
+    raw_blocks may have lines (see block_text) in place of text, font_size and is_mono. Only the pages asked for are
+    read; a book without page `last` makes the pages fail when they are, with range_problems' words.
+    """
+    blocks, pages, toc, books = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("raw_blocks", "raw_pages", "toc", "books"))
+    if first is not None:
+        last = first if last is None else last
+        short = range_problems(pages, last).where("problem is not null").select("book_id", "problem")
+        pages = page_selection(pages, first, last).join(short, "book_id", "left").where(F.coalesce(F.assert_true(F.col("problem").isNull(), F.col("problem")).cast("boolean"), F.lit(True))).drop("problem")
+        blocks, toc = page_selection(blocks, first, last), toc_of_pages(toc, first)
+    if "lines" in blocks.columns:
+        blocks = from_lines(blocks)
+    return blocks, pages, toc, titled(books)
+
+
+def from_lines(raw: DataFrame) -> DataFrame:
+    """raw_blocks of rows with lines; blocks without text are gone."""
+    lines = F.col("lines")
+    found = raw.withColumns({"text": block_text(lines), "font_size": block_font_size(lines), "is_mono": block_is_mono(lines)})
+    return found.where(F.length("text") > 0).drop("lines")
 
 
 def block_text(lines: Column) -> Column:

@@ -271,8 +271,11 @@ READERS: dict[str, Callable[[bytes, str], dict]] = {
 BOOKS = "path string, title string, author string, language string, cover binary, problem string, chapters array<struct<title:string,blocks:array<struct<kind:string,text:string>>>>"
 
 
-def read_books(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes, str], dict]] | None = None) -> DataFrame:
-    """A row for each file under path whose suffix has a reader; what can't be read says why in `problem`."""
+def read_books(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes, str], dict]] | None = None, unknown: str = "report") -> DataFrame:
+    """A row for each file under path; what can't be read says why in `problem`.
+
+    Files whose suffix has no reader are such rows, and are not opened; with unknown="raise" the result fails on them.
+    """
     known = readers or READERS
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", "(\\.[^./]+)$", 1))
@@ -290,7 +293,9 @@ def read_books(spark: SparkSession, path: str, readers: dict[str, Callable[[byte
                     rows.append((where, stem, None, None, None, str(e), None))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in BOOKS.split(", ")])
 
-    return files.where(suffix.isin(*known)).select("path", "content").mapInPandas(run, BOOKS)
+    problem = F.concat(F.lit("unknown format '"), suffix, F.lit(f"', known are: {', '.join(sorted(known))}"))
+    others = files.where(~suffix.isin(*known)).select("path", F.regexp_extract("path", "([^/]*?)(\\.[^./]+)?$", 1).alias("title"), (F.raise_error(problem).cast("string") if unknown == "raise" else problem).alias("problem"))
+    return files.where(suffix.isin(*known)).select("path", "content").mapInPandas(run, BOOKS).unionByName(others, allowMissingColumns=True)
 
 
 def book_blocks(books: DataFrame) -> DataFrame:
