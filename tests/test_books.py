@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zipfile
 
 import pytest
@@ -13,6 +14,7 @@ from tomeflow.operators import jobs as J
 from tomeflow.operators import layout as L
 from tomeflow.operators import review as R
 from tomeflow.operators import synthesis as S
+from tomeflow.sources import intake
 from tomeflow.sources import layout as SL
 from tomeflow.sources import markup as M
 from tomeflow.streaming import progress as P
@@ -256,3 +258,95 @@ def test_resumed_stream_pays_once(spark, tmp_path):
         source = spark.readStream.schema(work.schema).parquet(str(tmp_path / "work"))
         P.resumable(source, str(tmp_path / "cache"), S.synthesize, str(tmp_path / f"point{run}")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_layout_tables_are_read_by_pages(spark, tmp_path):
+    line = lambda *spans: {"spans": [{"text": t, "size": s, "flags": f} for t, s, f in spans]}
+    raw = [("a", p, q, [line((f"page {p}", 10.0 + q, 8)), line((" line", 9.0, 8 if q else 0))], 0.0, 10.0 * q, 100.0, 10.0 * q + 9) for p in (1, 2, 3) for q in (0, 1)] + [("a", 2, 2, [], 0.0, 0.0, 0.0, 0.0)]
+    spark.createDataFrame(raw, "book_id string, page int, seq int, lines array<struct<spans:array<struct<text:string,size:double,flags:int>>>>, x0 double, y0 double, x1 double, y1 double").write.parquet(f"{tmp_path}/raw_blocks.parquet")
+    spark.createDataFrame([("a", p, 600.0, 800.0) for p in (1, 2, 3)], "book_id string, page int, width double, height double").write.parquet(f"{tmp_path}/raw_pages.parquet")
+    spark.createDataFrame([("a", 0, "One", 1), ("a", 1, "Two", 3)], "book_id string, toc_idx int, title string, page int").write.parquet(f"{tmp_path}/toc.parquet")
+    spark.createDataFrame([("a", "/in/My book.pdf", "", None)], "book_id string, path string, title string, author string").write.parquet(f"{tmp_path}/books.parquet")
+    blocks, pages, toc, books = SL.read_layout(spark, str(tmp_path), 2, 3)
+    assert [(r.page, r.seq, r.text, r.font_size, r.is_mono) for r in blocks.orderBy("page", "seq").collect()] == [(p, q, f"page {p} line", 10.0 + q, bool(q)) for p in (2, 3) for q in (0, 1)]
+    assert pages.count() == 2 and [r.title for r in toc.collect()] == ["Two"] and books.first().title == "My book" and books.first().author is None
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(page,2)" in plan and "LessThanOrEqual(page,3)" in plan
+    with pytest.raises(Exception, match="page 9 is past the end, the document has 3"):
+        SL.read_layout(spark, str(tmp_path), 2, 9)[1].collect()
+    cut = SL.cut_pages(blocks, pages, toc, 3, 3)
+    assert [r.page for r in cut[0].collect()] == [1, 1] and cut[2].first().page == 1
+    with pytest.raises(ValueError, match="bad page range"):
+        SL.page_selection(pages, 0, 2)
+
+
+def test_unknown_books_are_told(spark, tmp_path):
+    (tmp_path / "x.doc").write_bytes(b"x")
+    row = M.read_books(spark, str(tmp_path)).first()
+    assert row.title == "x" and row.problem == "unknown format '.doc', known are: .epub, .fb2" and row.chapters is None
+    with pytest.raises(Exception, match="unknown format '.doc'"):
+        M.read_books(spark, str(tmp_path), unknown="raise").collect()
+
+
+def test_arriving_files_and_hook(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fb2").write_bytes(b"<x/>")
+    (tmp_path / "in" / "b.doc").write_bytes(b"y")
+    told = []
+    hook = P.ProgressHook(lambda stage, done: told.append((stage, done)))
+    spark.streams.addListener(hook)
+    try:
+        stream = intake.arriving(spark, str(tmp_path / "in")).drop("content")
+        stream.writeStream.format("parquet").queryName("intake").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if ("intake", 2) in told:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(hook)
+    found = {r.name: r.problem for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert found == {"a.fb2": None, "b.doc": "format .doc is not supported, known are: .epub, .fb2, .pdf"} and ("intake", 2) in told
+
+
+def test_cancelled_jobs_are_left_out(spark, tmp_path):
+    spark.createDataFrame([(1, "k1", "one"), (2, "k2", "two")], "job_id long, key string, text string").write.parquet(f"{tmp_path}/work")
+    work = spark.readStream.schema("job_id long, key string, text string").parquet(f"{tmp_path}/work")
+    P.resumable(work, f"{tmp_path}/cache", S.synthesize, f"{tmp_path}/check", lambda: spark.createDataFrame([(2,)], "job_id long")).trigger(availableNow=True).start().awaitTermination()
+    assert [r.key for r in spark.read.parquet(f"{tmp_path}/cache").collect()] == ["k1"]
+
+
+def test_reports_and_problems(spark, tmp_path):
+    layer = spark.createDataFrame([("a", 30.0, False), ("b", 300.0, True), ("c", 300.0, True)], "book_id string, chars_per_page double, has_text_layer boolean")
+    report = spark.createDataFrame([("a", 3), ("b", 0), ("c", 5)], "book_id string, kept int")
+    found = {r.book_id: r.problem for r in L.text_problems(layer, report).collect()}
+    assert found == {"a": "no text layer (30 characters per page)", "b": "no text was left after cleaning", "c": None}
+    S.write_report(report, f"{tmp_path}/report")
+    S.write_report(report.where("kept > 9"), f"{tmp_path}/none")
+    assert spark.read.json(f"{tmp_path}/report").count() == 3 and not (tmp_path / "none").exists()
+
+
+def test_finished_jobs_are_forgotten(spark, tmp_path):
+    """A job in a final state has no state left after its grace period."""
+    path = tmp_path / "events"
+    write = lambda rows: spark.createDataFrame(rows, "job_id long, event_seq long, state string").coalesce(1).write.mode("append").parquet(str(path))
+    write([(1, 1, "queued"), (1, 2, "done"), (2, 1, "queued")])
+    events = spark.readStream.schema("job_id long, event_seq long, state string").parquet(str(path))
+
+    query = P.guarded_states(events, grace_ms=1_000).writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="300 milliseconds").start()
+
+    def rows(n):
+        """The rows written, once there are n of them; such a query never has read all, since time goes on."""
+        for _ in range(150):
+            found = spark.read.schema("job_id long, event_seq long, accepted boolean").parquet(f"{tmp_path}/rows").collect() if (tmp_path / "rows" / "_spark_metadata").exists() else []
+            if len(found) >= n:
+                break
+            time.sleep(0.2)
+        return {(r.job_id, r.event_seq): r.accepted for r in found}
+
+    try:
+        assert rows(3)[1, 2]
+        time.sleep(4)
+        write([(1, 3, "queued")])
+        assert rows(4)[1, 3]
+    finally:
+        query.stop()

@@ -50,6 +50,6 @@ def stored_names(requests: DataFrame, order: str) -> DataFrame:
 
 def arriving(spark: SparkSession, folder: str, language: str = "ru", gender: str = "female") -> DataFrame:
     """A stream of the files that arrive in folder: path, name, length, content and problem (null: to be read)."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     named = files.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     return named.select("path", "name", "length", "content", request_problem(F.col("name"), F.lit(language), F.lit(gender), F.lit("")).alias("problem"))

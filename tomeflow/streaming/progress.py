@@ -59,7 +59,8 @@ def guarded_states(events: DataFrame, grace_ms: int | None = SILENCE_MS, silence
     """events (job_id, event_seq, state) with accepted; a refused move leaves the job where it was.
 
     A job in a final state is forgotten grace_ms after its last event, any other silence_ms after it (None: never).
-    An event that comes later still finds no job, as the first event of one does.
+    An event that comes later still finds no job, as the first event of one does. A stream that is to end when its
+    input is read needs None for both, since one that waits for time to pass never ends.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
