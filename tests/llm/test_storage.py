@@ -97,6 +97,28 @@ def test_damaged_media_say_so(spark):
 def test_tracks_without_sample_sizes_are_a_problem():
     good = media.write_container(media.padded(b"hi"))
     with pytest.raises(ValueError, match="stsz"):
-        media.probe(good.replace(b"stsz", b"stz2"))
+        media.probe(good.replace(b"stsz", b"stzz"))
     with pytest.raises(ValueError, match="fragments"):
         media.probe(good + media.box(b"moof", b""))
+
+
+def test_all_tracks_with_compact_sizes(spark):
+    """Two tracks, one with sizes of four bits and no keyframe table; stts counts, not the header."""
+    full, head, body = media.full_box, media.box(b"ftyp", b"isom"), b"AABCCCDD"
+    first = len(head) + 8
+
+    def track(codec, sizes, chunks, keys, stts):
+        stbl = media.box(
+            b"stbl", full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(8))), full(b"stts", struct.pack(">I", len(stts)), *(struct.pack(">II", *x) for x in stts)),
+            full(b"stsc", struct.pack(">IIII", 1, 1, chunks[1], 1)), sizes, full(b"stco", struct.pack(">II", 1, chunks[0])), *([full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []),
+        )
+        return media.box(b"trak", media.box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, 7, 0, 0)), full(b"hdlr", struct.pack(">I4s12x", 0, b"vide")), media.box(b"minf", stbl)))
+
+    compact = full(b"stz2", bytes([0, 0, 0, 4]), struct.pack(">I", 3), bytes([0x21, 0x30]))
+    single = full(b"stsz", struct.pack(">II", 1, 2))
+    data = head + media.box(b"mdat", body) + media.box(b"moov", track(b"avc1", compact, (first, 3), [], [(3, 40)]), track(b"raw ", single, (first + 6, 2), [2], [(2, 1)]))
+    a, b = media.probe(data)
+    assert [data[x:y] for _, x, y in a.keyframes] == [b"AA", b"B", b"CCC"] and (a.duration, a.declared) == (120, 7)
+    assert [data[x:y] for _, x, y in b.keyframes] == [b"D"] and media.read_payload(data, b) == b"DD"
+    row = media.probe_column(spark.createDataFrame([(1, 2, data)], "doc_id long, n_bytes long, media binary")).first()
+    assert [t.codec for t in row.tracks] == ["avc1", "raw"] and len(row.keyframes) == 3 and row.problem is None

@@ -2,8 +2,9 @@
 
 A container is a tree of boxes: a big-endian size, a four-letter type, and content or further boxes. The
 writer makes an uncompressed mono track of 8-bit samples: `ftyp`, `mdat` with the samples, `moov` with the
-sample tables. The prober walks the boxes of any such file and decodes `stts`, `stsc`, `stsz`, `stco`/`co64`
-and `stss` into codec, duration and the byte ranges of chunks and keyframes; it never decodes payloads.
+sample tables. The prober walks the boxes of any such file and decodes `stts`, `stsc`, `stsz`/`stz2`,
+`stco`/`co64` and `stss` of every track into codec, duration and the byte ranges of chunks and keyframes; it never
+decodes payloads. Samples in movie fragments (`moof`) are refused, with the reason.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import arrow_map, batch_of, stored, texts_of
 
@@ -107,7 +108,9 @@ class Track:
     codec: str = ""
     handler: str = ""
     timescale: int = 0
+    #: The sum of stts, or what mdhd says where there is none; and what mdhd says.
     duration: int = 0
+    declared: int = 0
     samples: int = 0
     #: (first byte, end byte) of each run of samples that lies together, in order.
     chunks: list[tuple[int, int]] = field(default_factory=list)
@@ -125,42 +128,57 @@ def _entries(data: bytes, at: int, end: int, layout: str) -> list[tuple]:
 
 def probe(data: bytes) -> list[Track]:
     """The tracks of a file; ValueError if its boxes or tables are damaged or don't give the sizes of samples."""
-    tracks: list[Track] = []
-    tables: dict[bytes, tuple[int, int]] = {}
+    boxes = list(walk(data))
+    if any(path[-1] == b"moof" for path, _, _ in boxes):
+        raise ValueError("samples in fragments are not read")
+    return [_track(data, at, end) for path, at, end in boxes if path == (b"moov", b"trak")]
 
-    def close() -> None:
-        if tracks and b"stsz" not in tables:
-            raise ValueError("a track has no stsz, so its samples are not found")
-        if tracks:
-            _resolve(data, tracks[-1], tables)
-        tables.clear()
 
-    for path, at, end in walk(data):
+def _track(data: bytes, start: int, stop: int) -> Track:
+    track, tables = Track(), {}
+    for path, at, end in walk(data, start, stop):
         kind = path[-1]
-        if kind == b"moof":
-            raise ValueError("samples in fragments are not read")
-        if path == (b"moov", b"trak"):
-            close()
-            tracks.append(Track())
-        elif b"trak" in path and tracks:
-            if kind == b"mdhd":
-                tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
-            elif kind == b"hdlr":
-                tracks[-1].handler = data[at + 8 : at + 12].decode("latin-1")
-            elif kind == b"stsd":
-                tracks[-1].codec = data[at + 12 : at + 16].decode("latin-1").strip()
-            elif kind in (b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss"):
-                tables[kind] = (at, end)
-    close()
-    return tracks
+        if kind == b"mdhd":
+            track.timescale, track.declared = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+        elif kind == b"hdlr":
+            track.handler = data[at + 8 : at + 12].decode("latin-1")
+        elif kind == b"stsd":
+            track.codec = data[at + 12 : at + 16].decode("latin-1").strip()
+        elif kind in (b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
+            tables[kind] = (at, end)
+    if not tables.keys() & {b"stsz", b"stz2"}:
+        raise ValueError("a track has neither stsz nor stz2, so its samples are not found")
+    _resolve(data, track, tables)
+    return track
+
+
+def _sizes(data: bytes, tables: dict[bytes, tuple[int, int]]) -> tuple[int, np.ndarray | None]:
+    """The number of samples, and the bytes before each and after the last; None where stsz has one size for all."""
+    if b"stsz" in tables:
+        at, end = tables[b"stsz"]
+        size, n = struct.unpack_from(">II", data, at + 4)
+        if size:
+            return n, None
+        bits, begin = 32, at + 12
+    else:
+        at, end = tables[b"stz2"]
+        bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        begin = at + 12
+    if bits not in (4, 8, 16, 32) or begin + -(-n * bits // 8) > end:
+        raise ValueError("a table of sample sizes is longer than its box")
+    raw = np.frombuffer(data, np.uint8, -(-n * bits // 8), begin)
+    sizes = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:n] if bits == 4 else raw.view(f">u{bits // 8}")
+    return n, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 def _resolve(data: bytes, track: Track, tables: dict[bytes, tuple[int, int]]) -> None:
-    at, end = tables[b"stsz"]
-    size, track.samples = struct.unpack_from(">II", data, at + 4)
-    sizes = None if size else [s for (s,) in struct.iter_unpack(">I", data[at + 12 : at + 12 + 4 * track.samples])]
-    if b"stts" in tables and not track.duration:
-        track.duration = sum(n * d for n, d in _entries(data, *tables[b"stts"], "II"))
+    track.samples, before = _sizes(data, tables)
+    each = 0 if before is not None else struct.unpack_from(">I", data, tables[b"stsz"][0] + 4)[0]
+    reach = (lambda k: k * each) if before is None else (lambda k: int(before[k]))  # bytes of the first k samples
+    timed = _entries(data, *tables[b"stts"], "II") if b"stts" in tables else []
+    track.duration = sum(n * d for n, d in timed) if timed else track.declared
+    if timed and sum(n for n, _ in timed) != track.samples:
+        raise ValueError("stts does not time all samples")
     offsets = [x for (x,) in (_entries(data, *tables[b"co64"], "Q") if b"co64" in tables else _entries(data, *tables[b"stco"], "I"))]
     runs = _entries(data, *tables[b"stsc"], "III")
     counts: list[int] = []
@@ -168,7 +186,9 @@ def _resolve(data: bytes, track: Track, tables: dict[bytes, tuple[int, int]]) ->
         counts += [per] * (following - first)
     firsts = [0]
     for offset, n in zip(offsets, counts, strict=True):
-        track.chunks.append((offset, offset + (n * size if size else sum(sizes[firsts[-1] : firsts[-1] + n]))))
+        if firsts[-1] + n > track.samples:
+            raise ValueError("the sample tables do not agree")
+        track.chunks.append((offset, offset + reach(firsts[-1] + n) - reach(firsts[-1])))
         firsts.append(firsts[-1] + n)
     if firsts[-1] != track.samples or any(b > len(data) for _, b in track.chunks):
         raise ValueError("the sample tables do not agree")
@@ -177,8 +197,8 @@ def _resolve(data: bytes, track: Track, tables: dict[bytes, tuple[int, int]]) ->
     for k in keys:
         while firsts[chunk + 1] < k:
             chunk += 1
-        begin = track.chunks[chunk][0] + (size * (k - 1 - firsts[chunk]) if size else sum(sizes[firsts[chunk] : k - 1]))
-        track.keyframes.append((k, begin, begin + (size or sizes[k - 1])))
+        begin = track.chunks[chunk][0] + reach(k - 1) - reach(firsts[chunk])
+        track.keyframes.append((k, begin, begin + reach(k) - reach(k - 1)))
 
 
 def read_payload(data: bytes, track: Track) -> bytes:
@@ -206,17 +226,23 @@ def media_column(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<sample:long,start:long,stop:long>>, problem string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<sample:long,start:long,stop:long>>, tracks array<struct<codec:string,handler:string,timescale:long,duration:long,declared:long,samples:long,chunks:long,keyframes:array<struct<sample:long,start:long,stop:long>>>>, problem string"
+
+
+_KEYS = pa.list_(pa.struct([("sample", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
+_TRACK = pa.struct([("codec", pa.string()), ("handler", pa.string()), *((x, pa.int64()) for x in ("timescale", "duration", "declared", "samples", "chunks")), ("keyframes", _KEYS)])
 
 
 def probe_column(media: DataFrame) -> DataFrame:
     """Features of the containers in column media, next to doc_id and n_bytes.
 
-    feature names codec, rate, samples, chunks and keyframes. A null or damaged container gives nulls and
-    says why in `problem`; no row is lost.
+    Payload, feature (codec, handler, rate, samples, chunks, keyframes), codec, duration_s and keyframes (byte ranges)
+    are those of the first track; tracks has all. A null or damaged container gives nulls and says why in `problem`;
+    no row is lost. Repeated rows, null doc_ids and empty tables need no rule of their own; containers of any length
+    are read whole.
     """
-    names = [x.split()[0] for x in FEATURES.split(", ")]
-    types = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "codec": pa.string(), "duration_s": pa.float64(), "keyframes": pa.list_(pa.struct([("sample", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])), "problem": pa.string()}
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes", "tracks", "problem"]
+    types = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "codec": pa.string(), "duration_s": pa.float64(), "keyframes": _KEYS, "tracks": pa.list_(_TRACK), "problem": pa.string()}
 
     def one(data: bytes | None) -> tuple:
         try:
@@ -226,13 +252,14 @@ def probe_column(media: DataFrame) -> DataFrame:
             if not tracks:
                 raise ValueError("no track")
         except (ValueError, KeyError, IndexError, struct.error) as e:
-            return (None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None, None, str(e) or type(e).__name__)
+            return (None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None, None, None, str(e) or type(e).__name__)
         t = tracks[0]
         payload = read_payload(data, t)
         seconds = t.duration / t.timescale if t.timescale else None
         feature = f"{t.codec};{t.handler};{t.timescale};{t.samples};{len(t.chunks)};{len(t.keyframes)}"
-        keys = [{"sample": k, "start": a, "stop": b} for k, a, b in t.keyframes]
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(data), hashlib.sha256(data).hexdigest(), feature, t.codec, seconds, keys, None)
+        keys = lambda x: [{"sample": k, "start": a, "stop": b} for k, a, b in x.keyframes]
+        listed = [{"codec": x.codec, "handler": x.handler, "timescale": x.timescale, "duration": x.duration, "declared": x.declared, "samples": x.samples, "chunks": len(x.chunks), "keyframes": keys(x)} for x in tracks]
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(data), hashlib.sha256(data).hexdigest(), feature, t.codec, seconds, keys(t), listed, None)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = list(zip(*map(one, (x.as_py() for x in batch.column(2))), strict=True))
@@ -242,5 +269,6 @@ def probe_column(media: DataFrame) -> DataFrame:
 
 
 def stored_features(docs: DataFrame) -> DataFrame:
-    """Writes the media column of docs to the shared folder and probes it from there."""
-    return probe_column(stored(media_column(docs), "media")).drop("problem").withColumn("n_keyframes", F.size("keyframes")).drop("keyframes")
+    """Writes the media column of docs to the shared folder and probes it from there: codec, duration and keyframe
+    byte ranges are columns of the result. Rows as in media_column()."""
+    return probe_column(stored(media_column(docs), "media")).drop("problem", "tracks")
