@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.llm import decontaminate, quality
@@ -143,18 +142,3 @@ def test_calibration_is_stable():
     assert 0 < view.slope < 3 and abs(view.offset) < 3
     view.calibrate({})
     assert (view.slope, view.offset) == (1.0, 0.0)
-
-
-def test_pipeline_stages(spark, sf_dir):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names, n = docs.columns, docs.count()
-    for name, stage in pipeline.STAGES[:-1]:
-        out = pipeline.stored(stage(spark, docs, sf_dir), "test")
-        assert out.columns == names
-        m = out.count()
-        assert (m == n if name == "line_dedup" else 0 < m <= n), name
-        docs, n = out, m
-    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == n
-    rows = pipeline.run(spark, sf_dir)
-    assert rows.count() == n and rows.where(F.col("n_tokens").isNull()).count() == 0
