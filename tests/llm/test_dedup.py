@@ -1,6 +1,7 @@
 """Near duplicates, repeated units and lines, and the graph steps under them, against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -108,6 +109,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert same_but(kept, frame(spark, rows)) and kept.count() == len(set(want))
 
 
+def test_near_duplicates_of_a_corpus_against_brute_force(spark, sf_dir):
+    """The classes of a whole table are those that all pairs with a common shingle give."""
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{larger if os.path.isdir(larger) else sf_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    texts = list(first)
+    bags, having = [minhash.multiset(Words([t]).hashes) for t in texts], defaultdict(list)
+    for k, (shingle, _) in enumerate(bags):
+        for h in shingle.tolist():
+            having[h].append(k)
+    pairs = {p for v in having.values() for p in combinations(v, 2)}
+    want = classes(len(texts), [p for p in pairs if minhash.overlap(bags[p[0]], bags[p[1]]) >= 0.8])
+    of = {t: texts[c] for t, c in zip(texts, want)}
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == {i: first[of[t]] for i, t in rows} and len(set(want)) < len(texts)
+
+
 def test_near_duplicates_on_edges(edges, empty):
     found = minhash.near_duplicates(edges).collect()
     by = {r.doc_id: r.class_id for r in found if r.doc_id is not None}

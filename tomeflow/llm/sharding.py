@@ -76,6 +76,6 @@ def shard_by_size(docs: DataFrame, shards: int = 16) -> DataFrame:
     plan_rows = spark.createDataFrame(list(plan.items()), "class long, ends array<long>")
     ranked = numbered(groups, ["class"], F.col("group"), "rank", bucket_count(groups.count()), [F.col("group")])
     dealt = ranked.join(F.broadcast(plan_rows), "class").select("group", F.expr("size(filter(ends, e -> e <= rank))").alias("shard"))
-    placed = stored(rows.join(dealt, "group"), "shard-placed")
-    slots = numbered(placed, ["shard"], F.struct("doc_id", "group"), "slot", bucket_count(placed.count()), [F.col("doc_id"), F.col("group")])
+    placed = stored(rows.join(dealt, "group").withColumn("row", F.monotonically_increasing_id()), "shard-placed")  # repeated rows are dealt apart by it
+    slots = numbered(placed, ["shard"], F.col("row"), "slot", bucket_count(placed.count()), [F.col("row")])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
