@@ -117,13 +117,15 @@ def test_views_teach_each_other(spark):
     rows, labels = [], []
     for i in range(600):
         bad = i % 3 == 0
-        marks = (["nasty"] if i < 150 else ["grim"]) * 4 if bad else []
-        rows.append((i, " ".join(r.choice(vocabulary) for _ in range(40)) + " " + " ".join(marks), "dark" if bad else "light"))
+        text = r.sample(vocabulary, 44)
+        if bad:
+            text[::11] = ["nasty", "vile", "rotten", "awful"] if i < 150 else ["grim", "dire", "foul", "bleak"]
+        rows.append((i, " ".join(text), "dark" if bad else "light"))
         labels.append((i, int(not bad), 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("source", F.when(F.col("doc_id") < 500, F.col("source")))
     known = spark.createDataFrame(labels[:150], "doc_id long, quality int, toxic int")
-    late = lambda rounds: sum(not x.keep for x in quality.classify(docs, known, rounds=rounds).where("doc_id >= 500 and doc_id % 3 = 0").collect())
-    assert late(2) >= 30 > 5 >= late(0)
+    late = lambda rounds: sum(not x.keep for x in quality.classify(docs, known, rounds=rounds, confident=0.8).where("doc_id >= 500 and doc_id % 3 = 0").collect())
+    assert late(2) >= 25 and late(0) == 0
 
 
 def test_classifier_on_edges(spark, edges, empty):
