@@ -17,6 +17,7 @@ from tomeflow.operators import synthesis as S
 from tomeflow.sources import intake
 from tomeflow.sources import layout as SL
 from tomeflow.sources import markup as M
+from tomeflow.sources import storage
 from tomeflow.streaming import progress as P
 
 BLOCK = "book_id long, page int, seq int, text string, font_size double, x0 double, y0 double, x1 double, y1 double, is_mono boolean"
@@ -350,3 +351,16 @@ def test_finished_jobs_are_forgotten(spark, tmp_path):
         assert rows(4)[1, 3]
     finally:
         query.stop()
+
+
+def test_folders_are_checked(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    assert storage.checked_folder(spark, "  ") is None and storage.checked_folder(spark, f" {tmp_path}/new ") == f"{tmp_path}/new"
+    assert storage.checked_folder(spark, "~/books").startswith("/") and storage.offered_folders("/home/a/")["desktop"] == "/home/a/Desktop/Audiobooks"
+    with pytest.raises(storage.Refused, match="a full path is needed"):
+        storage.checked_folder(spark, "books")
+    with pytest.raises(storage.Refused, match="that is a file"):
+        storage.checked_folder(spark, str(tmp_path / "file"))
+    storage.check_space(spark, f"{tmp_path}/a/b", 1_000)
+    with pytest.raises(storage.Refused, match="not enough space"):
+        storage.check_space(spark, f"{tmp_path}/a/b", 10**15)
