@@ -1,11 +1,13 @@
 """Scalar functions on literal inputs of our own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.functions import text as T
 from tomeflow.functions.numbers import english, english_ordinal, russian, russian_ordinal, spelled
-from tomeflow.functions.speech import normalize_for_speech, numerals_spoken, roman_number
+from tomeflow.functions.speech import _Reader, normalize_for_speech, numerals_spoken, roman_number
 from tomeflow.functions.translit import in_cyrillic, spelled_acronym
 
 
@@ -90,5 +92,21 @@ def test_speech_column(spark):
     assert roman_number("MCMXCIV") == 1994
 
 
+@pytest.mark.parametrize("language", ["ru", "en"])
+def test_stretches_read_as_whole_texts_do(language):
+    r = random.Random(4)
+    some = ["в", "до", "года", "году", "век", "вв.", "в.", "XIX", "iv", "V", "—", "-", "1861", "12", "3,5", "45", "%", "Глава", "том", "слово", "word", "a1", "x.", "(7)", "\n", "   ", "№5;"]
+    for _ in range(3000):
+        text = "".join(r.choice(some) + r.choice(["", " ", " ", "  "]) for _ in range(r.randint(1, 30)))
+        assert numerals_spoken(text, language) == _Reader(text, language).spoken(), text
+
+
+def test_texts_without_numbers_stay_in_the_jvm(spark):
+    """The column gives what the rules give, whether or not a text has to go to Python."""
+    said = ["I am mild", "MIX of it", "no number", "Part II.", "в v веке", "xx век", "Глава 2", "x", "II-го", None]
+    for language in ("ru", "en"):
+        assert apply(spark, lambda c: normalize_for_speech(c, language), *said) == [None if t is None else numerals_spoken(t, language) for t in said]
+
+
 def test_transliteration():
     assert [in_cyrillic(x) for x in ("Lake", "NATO", "R&D", "Chester", "x", "слово 5", "Kelly's")] == ["лэйк", "эн-эй-ти-оу", "ар энд ди", "честер", "экс", "слово 5", "келлй'с"]

@@ -39,7 +39,11 @@ DASHES = "—–-"
 
 #: A number that touches no word, a word, white space, or any one character.
 _TOKENS = re.compile(r"(?P<number>(?<![\w.,])\d+(?:[.,]\d+)?(?!\w))|(?P<word>\w+)|(?P<space>\s+)|(?P<mark>.)", re.DOTALL)
-_MAY_SPEAK = "[\\p{Nd}MDCLXVImdclxvi]"
+#: Digits, and words that may be numerals.
+_SIGNS = {"ru": re.compile(r"\d+|\b[MDCLXVImdclxvi]+\b"), "en": re.compile(r"\d+|\b[MDCLXVI]{2,}\b")}
+#: Texts that have something to say in words: a digit, or a word of numerals' letters, which centuries write in either case.
+_MAY_SPEAK = {"ru": "(?U)\\p{Nd}|\\b[MDCLXVImdclxvi]+\\b"}
+_MAY_SPEAK_ELSE = "(?U)\\p{Nd}|\\b[MDCLXVI]{2,}\\b"
 
 
 def roman_number(numeral: str) -> int:
@@ -163,9 +167,39 @@ class _Reader:
         return "".join(out)
 
 
+def _around(text: str, begin: int, end: int) -> tuple[int, int]:
+    """The stretch begin:end with what may bear on it: the chunk of text before its own, and four behind it."""
+    for _ in range(2):
+        while begin and text[begin - 1].isspace():
+            begin -= 1
+        while begin and not text[begin - 1].isspace():
+            begin -= 1
+    n = len(text)
+    for _ in range(5):
+        while end < n and not text[end].isspace():
+            end += 1
+        while end < n and text[end].isspace():
+            end += 1
+    return begin, end
+
+
 def numerals_spoken(text: str, language: str) -> str:
-    """Centuries, Roman numerals, headings, years, percentages and bare numbers in words."""
-    return _Reader(text, language).spoken()
+    """Centuries, Roman numerals, headings, years, percentages and bare numbers in words.
+
+    Only stretches around digits and numerals are read as tokens; the rest of a text stays as it is.
+    """
+    stretches: list[tuple[int, int]] = []
+    for m in _SIGNS.get(language, _SIGNS["en"]).finditer(text):
+        begin, end = _around(text, m.start(), m.end())
+        if stretches and begin <= stretches[-1][1]:
+            stretches[-1] = (stretches[-1][0], max(end, stretches[-1][1]))
+        else:
+            stretches.append((begin, end))
+    out, at = [], 0
+    for begin, end in stretches:
+        out += [text[at:begin], _Reader(text[begin:end], language).spoken()]
+        at = end
+    return "".join(out) + text[at:]
 
 
 @functools.cache
@@ -180,5 +214,5 @@ def _spoken_udf(language: str):
 def normalize_for_speech(c: Column, language: str) -> Column:
     """A line as a reader should say it; a second pass changes nothing."""
     plain = expand_abbreviations(strip_urls(c, language), language)
-    may = F.regexp_like(plain, F.lit(_MAY_SPEAK))
-    return F.when(may, _spoken_udf(language)(F.when(may, plain))).otherwise(plain)
+    may = F.regexp_like(plain, F.lit(_MAY_SPEAK.get(language, _MAY_SPEAK_ELSE)))
+    return F.coalesce(_spoken_udf(language)(F.when(may, plain)), plain)

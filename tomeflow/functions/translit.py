@@ -70,7 +70,7 @@ def _in_cyrillic(texts: pd.Series) -> pd.Series:
 def latin_to_cyrillic(c: Column) -> Column:
     """Texts without a Latin letter stay as they are, in the JVM."""
     latin = F.regexp_like(c, F.lit("[A-Za-z]"))
-    return F.when(latin, _in_cyrillic(F.when(latin, c))).otherwise(c)
+    return F.coalesce(_in_cyrillic(F.when(latin, c)), c)
 
 
 def spelled_acronym(c: Column) -> Column:
