@@ -225,7 +225,7 @@ def test_epub_and_reader(spark, tmp_path):
     (tmp_path / "z.epub").write_bytes(b"no zip")
     (tmp_path / "other.txt").write_bytes(b"skip")
     books = M.read_books(spark, str(tmp_path))
-    assert sorted((r.title, r.problem is not None) for r in books.collect()) == [("Book", False), ("T", False), ("z", True)]
+    assert sorted((r.title, r.problem is not None) for r in books.collect()) == [("Book", False), ("T", False), ("other", True), ("z", True)]
     assert M.book_blocks(books).count() == 9
 
 
@@ -248,7 +248,7 @@ def test_streams_of_progress_and_states(spark, tmp_path):
     states = [(1, 1, "uploaded"), (1, 2, "cancelled"), (1, 3, "queued"), (1, 4, "done")]
     spark.createDataFrame(states, "job_id long, event_seq long, state string").write.parquet(str(tmp_path / "st"))
     source = spark.readStream.schema("job_id long, event_seq long, state string").parquet(str(tmp_path / "st"))
-    P.guarded_states(source).writeStream.format("memory").queryName("guarded").trigger(availableNow=True).start().awaitTermination()
+    P.guarded_states(source, grace_ms=None).writeStream.format("memory").queryName("guarded").trigger(availableNow=True).start().awaitTermination()
     assert [(r.accepted, r.current) for r in spark.table("guarded").orderBy("event_seq").collect()] == [(True, "uploaded"), (True, "cancelled"), (False, "cancelled"), (True, "done")]
 
 
