@@ -110,3 +110,9 @@ def test_texts_without_numbers_stay_in_the_jvm(spark):
 
 def test_transliteration():
     assert [in_cyrillic(x) for x in ("Lake", "NATO", "R&D", "Chester", "x", "слово 5", "Kelly's")] == ["лэйк", "эн-эй-ти-оу", "ар энд ди", "честер", "экс", "слово 5", "келлй'с"]
+
+
+def test_durations_of_long_texts(spark):
+    sizes = [0, 1, 89_478, 89_479, 2**31 - 1]  # 24,000 frames for each of 89,479 characters are beyond an int
+    found = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", T.speech_seconds(F.col("n")), T.gap_seconds(F.col("n"))).collect()
+    assert [tuple(r) for r in found] == [(n, 1600 * n / 24000, round(n / 15 * 24000) / 24000) for n in sizes]

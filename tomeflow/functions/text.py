@@ -174,7 +174,7 @@ def chapter_indexes(c: Column) -> Column:
 
 def speech_seconds(chars: Column) -> Column:
     """Whole frames of the stub engine for so many characters, in seconds."""
-    return F.floor(chars * ENGINE_RATE / CHARS_PER_SECOND) / ENGINE_RATE
+    return F.floor(chars.cast("long") * ENGINE_RATE / CHARS_PER_SECOND) / ENGINE_RATE
 
 
 def gap_seconds(chars: Column) -> Column:
