@@ -104,6 +104,14 @@ def test_clean_report_counts_add_up(spark, sf_dir):
     assert sum(r.running_heads for r in report) > 0 and sum(r.footnotes for r in report) > 0
 
 
+def test_clean_report_rounds_as_its_sql_does(spark):
+    texts = [(1, 0, "x" * 93 + "."), (1, 1, "\x02" + "y" * 705), (2, 0, "x" * 94 + "."), (2, 1, "\x02" + "y" * 704)]
+    blocks = spark.createDataFrame(texts, "book_id int, seq int, text string").selectExpr("book_id", "1 page", "seq", "text", "12.0D font_size", "50.0D x0", "110.0D + 140 * seq y0", "550.0D x1", "122.0D + 140 * seq y1", "false is_mono")
+    pages = blocks.select("book_id", "page").distinct().selectExpr("*", "600.0D width", "800.0D height")
+    rows = L.clean_report(blocks, pages).orderBy("book_id").collect()
+    assert [(r.chars_before, r.chars_after, r.summary.split()[2]) for r in rows] == [(800, 94, "88.2%"), (800, 95, "88.1%")]  # 88.25 is a tie
+
+
 def test_spans_of_a_block(spark):
     lines = [([("Hel", 10.0, 8), ("lo ", 14.0, 9)],), ([(" there\t you", 9.0, 8)],)]
     df = spark.createDataFrame([(lines,), ([],)], "lines array<struct<spans:array<struct<text:string,size:double,flags:int>>>>")

@@ -116,3 +116,12 @@ def test_durations_of_long_texts(spark):
     sizes = [0, 1, 89_478, 89_479, 2**31 - 1]  # 24,000 frames for each of 89,479 characters are beyond an int
     found = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", T.speech_seconds(F.col("n")), T.gap_seconds(F.col("n"))).collect()
     assert [tuple(r) for r in found] == [(n, 1600 * n / 24000, round(n / 15 * 24000) / 24000) for n in sizes]
+
+
+def test_one_decimal(spark):
+    rng = random.Random(5)
+    pairs = [(176, 1280), (94, 800), (1, 1), (0, 7), (1281, 1280), (3, 2), (10_000, 9_999)] + [(a, b) for b in (16, 80, 400, 1280, 2000) for a in range(0, b + 40, 3)]
+    pairs += [(rng.randrange(2 * b), b) for b in (rng.randrange(1, 10**6) for _ in range(2000))]
+    values = [(1 - a / b) * 100 for a, b in pairs] + [k / 20 for k in range(-2001, 2001, 2)] + [0.0499, 0.05, 0.01, 1e-9, 12345678.25]
+    found = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double").orderBy("i").select(T.one_decimal(F.col("v"))).collect()
+    assert [r[0] for r in found] == [*(f"{v:.1f}" for v in values), None]

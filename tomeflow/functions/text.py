@@ -208,3 +208,17 @@ def roman_value(c: Column) -> Column:
 def minutes_left(elapsed: Column, done: Column, total: Column) -> Column:
     """What is left of a job at its pace so far; null before the first step."""
     return F.when(done > 0, elapsed * total / done - elapsed)
+
+
+def one_decimal(c: Column) -> Column:
+    """A number as text with one decimal: the nearest to its exact binary value, ties to an even digit, as printf does.
+
+    Java's format rounds the shortest decimal notation, and halves up.
+    """
+    size, unit = F.abs(c), 1 << 58  # below 1/64, where bits of a double are finer, all round to 0.0
+    whole = F.floor(size)
+    tenths = F.floor((size - whole) * float(unit)) * 10
+    digit, rest = F.shiftright(tenths, 58), tenths.bitwiseAND(F.lit(unit - 1))
+    up = (rest > unit // 2) | ((rest == unit // 2) & (digit % 2 == 1))
+    number = whole * 10 + digit + F.when(up, 1).otherwise(0)
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(number / 10).cast("string"), F.lit("."), (number % 10).cast("string"))

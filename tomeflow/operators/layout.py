@@ -170,7 +170,7 @@ def clean_report(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     runs = runs.withColumn("_chars", chars).withColumn("kept", F.size("_chars")).withColumn("chars_after", F.aggregate("_chars", F.lit(0).cast("long"), lambda a, n: a + n))
     both = runs.groupBy("book_id").agg(*(F.sum(c).alias(c) for c in (*RULES, "chars_before", "kept", "chars_after")))
     said = F.array_join(F.filter(F.array(*(F.when(F.col(r) > 0, F.concat(F.lit(RULE_LABELS[r] + " "), F.col(r).cast("string"))) for r in RULES)), lambda x: x.isNotNull()), ", ")
-    loss = F.format_string("%.1f%%", (1 - F.col("chars_after") / F.nullif(F.col("chars_before"), F.lit(0))) * 100)
+    loss = F.concat(T.one_decimal((1 - F.col("chars_after") / F.nullif(F.col("chars_before"), F.lit(0))) * 100), F.lit("%"))
     tail = F.when(F.length(said) > 0, F.concat(F.lit(": "), said)).otherwise("")
     return both.withColumn("summary", F.when(F.col("chars_before") == 0, "nothing to clean").otherwise(F.concat(F.lit("cleaning removed "), loss, F.lit(" of the characters"), tail)))
 
