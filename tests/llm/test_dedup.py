@@ -4,7 +4,7 @@ import hashlib
 import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,23 @@ def classes(n, links):
     return [find(x) for x in range(n)]
 
 
+@pytest.mark.parametrize("crowd", [0, 100_000])
+def test_members_that_share_buckets_travel_packed(spark, crowd, monkeypatch):
+    """All members of buckets with several come through, and a row is dealt for many of them."""
+    monkeypatch.setattr(_graph, "CROWD", crowd or 64)
+    rng = random.Random(8)
+    rows = [(rng.choice([rng.randrange(300) - 150, rng.getrandbits(63), 7]), k) for k in range(3000)]
+    members = spark.createDataFrame(rows, "bucket long, id long").repartition(3)
+    with _graph.Shelf(spark) as shelf:
+        shared = _graph._sharing(shelf, members)
+        found = sorted(map(tuple, shared.collect()))
+        packed = shared._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    n = Counter(b for b, _ in rows)
+    assert found == sorted((b, k) for b, k in rows if n[b] > 1)
+    assert packed == 2  # rows are packed before they are dealt
+    assert spark.createDataFrame([], "bucket long, id long").transform(lambda x: _graph._sharing(_graph.Shelf(spark), x)).count() == 0
+
+
 @pytest.mark.parametrize("each", [5, 1_000])
 def test_components_of_chains_and_stars(spark, each):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (5, 5)]
