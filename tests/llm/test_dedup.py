@@ -51,6 +51,24 @@ def test_members_that_share_buckets_travel_packed(spark, crowd, monkeypatch):
     assert spark.createDataFrame([], "bucket long, id long").transform(lambda x: _graph._sharing(_graph.Shelf(spark), x)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [64, 100_000])
+def test_buckets_of_a_member_travel_as_one_value(spark, crowd, monkeypatch):
+    """Members with packed buckets share what members with a row for each bucket do; no row is made for each before they are dealt."""
+    monkeypatch.setattr(_graph, "CROWD", crowd)
+    rng = random.Random(9)
+    lists = [[rng.choice([rng.randrange(300) - 150, rng.getrandbits(63), 7]) for _ in range(rng.randrange(5))] for _ in range(2000)]
+    packed = _graph.packed_keys(np.array([b for x in lists for b in x], np.int64), np.array([len(x) for x in lists])).to_pylist()
+    assert packed[:5] == [np.array(x, np.int64).tobytes() for x in lists[:5]]
+    members = spark.createDataFrame([(p, k) for k, p in enumerate(packed)] + [(None, 5000)], "buckets binary, id long").repartition(3)
+    with _graph.Shelf(spark) as shelf:
+        shared = _graph._sharing(shelf, members)
+        found = sorted(map(tuple, shared.collect()))
+        plan = shared._jdf.queryExecution().optimizedPlan().toString()
+    n = Counter(b for x in lists for b in x)
+    assert found == sorted((b, k) for k, x in enumerate(lists) for b in x if n[b] > 1)
+    assert "Generate" not in plan and (crowd == 64 or plan.count("MapInArrow") == 2)
+
+
 @pytest.mark.parametrize("each", [5, 1_000])
 def test_components_of_chains_and_stars(spark, each):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (5, 5)]
